@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +53,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_by_value(module: str) -> None:
+    """Sends the functions of a module to the tasks themselves: executors need no install."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
