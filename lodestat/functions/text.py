@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestat.functions.spaces import OTHER_WHITE, NOT_WHITE, WHITE, WHITE_NOT_SPACE
+from lodestat.functions.spaces import NOT_WHITE, OTHER_WHITE, WHITE, WHITE_CHARACTERS
 
 # Fixed values.
 MISSING_LABEL = "(manquant)"
@@ -71,26 +71,27 @@ def _expansion_class() -> str:
 
 
 def _fold(col: Column) -> Column:
-    """Compatibility decomposition, diacritics removed; plain ASCII takes a short path."""
+    """Compatibility decomposition, diacritics removed, every white space a plain space.
+
+    Printable ASCII takes a short path.
+    """
     source, target, dropped, expanded = _folding_tables()
-    pairs = [F.lit(x) for pair in expanded.items() for x in pair]
+    white = "".join(c for c in WHITE_CHARACTERS if c not in source)
+    # One literal holds the whole table, cut at private-use characters.
+    written = "\ue001".join(f"{char}\ue000{text}" for char, text in expanded.items())
+    table = F.str_to_map(F.lit(written), F.lit("\ue001"), F.lit("\ue000"))
     spelled_out = F.array_join(
-        F.transform(F.split(col, ""), lambda ch: F.coalesce(F.create_map(*pairs)[ch], ch)), ""
+        F.transform(F.split(col, ""), lambda ch: F.coalesce(table[ch], ch)), ""
     )
     whole = F.when(col.rlike(_expansion_class()), spelled_out).otherwise(col)
-    return F.when(
-        col.rlike(r"[^\x00-\x7f]"), F.translate(whole, source + dropped, target)
-    ).otherwise(col)
+    folded = F.translate(whole, source + white + dropped, target + " " * len(white))
+    return F.when(col.rlike(r"[^\x20-\x7e]"), folded).otherwise(col)
 
 
 def normalize_text(col: Column) -> Column:
     """Comparison key: lower case, no diacritics, single spaces; blanks are NULL."""
-    filled = blank_to_null(col)
-    stripped = F.regexp_replace(filled, rf"^{WHITE}+|{WHITE}++$", "")
-    # A lone space is already in its final form: only the other runs are rewritten.
-    return F.regexp_replace(
-        _fold(F.lower(stripped)), rf"{WHITE}{{2,}}+|{WHITE_NOT_SPACE}", " "
-    )
+    key = _fold(F.lower(F.trim(blank_to_null(col), F.lit(WHITE_CHARACTERS))))
+    return F.when(key.contains("  "), F.regexp_replace(key, " {2,}+", " ")).otherwise(key)
 
 
 def as_modality(col: Column) -> Column:

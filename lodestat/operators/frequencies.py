@@ -33,8 +33,14 @@ def long_numbers(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
 
 def long_text(df: DataFrame, columns: Sequence[str], blank: bool = True) -> DataFrame:
     """(colonne, valeur string) rows, absences kept as NULL."""
-    read = blank_to_null if blank else (lambda c: c.cast("string"))
-    wide = df.select(*[read(present(df, c)).alias(c) for c in columns])
+    kinds = dict(df.dtypes)
+
+    def read(name: str) -> Column:
+        # Only text can hold a blank; other types are spared the test.
+        cell = present(df, name)
+        return blank_to_null(cell) if blank and kinds[name] == "string" else cell.cast("string")
+
+    wide = df.select(*[read(c).alias(c) for c in columns])
     return wide.unpivot([], list(columns), COLUMN, VALUE)
 
 

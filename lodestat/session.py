@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder, and read back.
+
+    For an intermediate result that several branches of a plan read: it is computed once, its
+    lineage is cut, a lost executor costs a re-read, and filters and columns are pushed to it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_by_value(module: str) -> None:
