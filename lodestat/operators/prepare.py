@@ -50,7 +50,8 @@ def conform(
 ) -> DataFrame:
     """One typed projection: numbers, dates and comparison keys, by semantic type.
 
-    Drops no row and no column, merges no category, imputes nothing. Units and date formats that
+    Drops no row and no column, merges no category, imputes nothing. A column of type ``brut``
+    stays as written. Units and date formats that
     are not given are detected from the whole column.
     """
     units, formats = dict(units or {}), dict(formats or {})
@@ -72,6 +73,8 @@ def conform(
     def typed(name: str) -> Column:
         cell = blank_to_null(F.col(f"`{name}`"))
         kind = kinds[name]
+        if kind == "brut":
+            return F.col(f"`{name}`")
         if kind in ("entier", "decimal"):
             if name in units:
                 number = parse_number(cell, units[name])
