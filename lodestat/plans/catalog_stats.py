@@ -428,16 +428,16 @@ def _(spark, folder):
 
 @register(
     "permutation_summary",
-    "WITH d AS (SELECT l_returnflag AS variable_1, 'x' AS variable_2, l_extendedprice AS v FROM lineitem), "
+    # One draw per cell of two small domains: as bounded as permutations are.
+    "WITH d AS (SELECT l_returnflag AS variable_1, 'x' AS variable_2, avg(l_extendedprice) AS v FROM lineitem GROUP BY l_returnflag, l_linenumber, l_discount), "
     "o AS (SELECT variable_1, variable_2, avg(v) AS valeur FROM d GROUP BY ALL) "
     f"SELECT o.variable_1, o.variable_2, {R('valeur')} AS valeur, {R('quantile_cont(v, 0.95)')} AS bruit, "
     f"{R('(1 + count(*) FILTER (v >= valeur - 1e-9 * valeur)) / (1 + count(*))')} AS p_permutation FROM d JOIN o USING (variable_1, variable_2) GROUP BY o.variable_1, o.variable_2, valeur",
 )
 def _(spark, folder):
-    draws = table(spark, folder, "lineitem").select(
-        F.col("l_returnflag").alias("variable_1"),
-        F.lit("x").alias("variable_2"),
-        F.col("l_extendedprice").alias("valeur"),
+    cells = table(spark, folder, "lineitem").groupBy("l_returnflag", "l_linenumber", "l_discount")
+    draws = cells.agg(F.avg("l_extendedprice").alias("valeur")).select(
+        F.col("l_returnflag").alias("variable_1"), F.lit("x").alias("variable_2"), "valeur"
     )
     observed = draws.groupBy("variable_1", "variable_2").agg(F.avg("valeur").alias("valeur"))
     return noise.permutation_summary(draws, observed)
