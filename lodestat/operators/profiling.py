@@ -314,7 +314,7 @@ def _bounds(kind: Column, end: str) -> Column:
 def extent(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(colonne, min, max): bounds read on the magnitude, written canonically; NULL if unordered."""
     freq = frequencies_once(df, columns)
-    facts = _facts(freq)
+    facts = _facts_once(freq)
     kind = F.col("type_semantique")
     return facts.join(F.broadcast(_date_extent(freq, facts)), COLUMN, "left").select(
         COLUMN, _bounds(kind, "min").alias("min"), _bounds(kind, "max").alias("max")
@@ -372,6 +372,11 @@ def _stored_as_text(dtype: Column) -> Column:
     return ~dtype.rlike("^(" + "|".join(_TYPED_STORAGE) + ")")
 
 
+def _facts_once(freq: DataFrame) -> DataFrame:
+    """The facts of each column, one row per column, kept for the branches that read them."""
+    return materialized(_facts(freq))
+
+
 def _with_storage(facts: DataFrame, dtypes: Mapping[str, str]) -> DataFrame:
     pairs = [F.lit(x) for pair in dtypes.items() for x in pair]
     known = F.create_map(*pairs)[F.col(COLUMN)] if pairs else F.lit(None).cast("string")
@@ -390,7 +395,7 @@ def dominant_pattern(
 ) -> DataFrame:
     """(colonne, motif_dominant, couverture_motif_%, n_motifs) where patterns are informative."""
     freq = frequencies_once(df, columns)
-    facts = _with_storage(_facts(freq), dtypes or {})
+    facts = _with_storage(_facts_once(freq), dtypes or {})
     kept = freq.join(F.broadcast(_patterned(facts)), COLUMN, "left_semi")
     return _dominant(_patterns(kept))
 
@@ -411,7 +416,7 @@ def profile_columns(
 ) -> DataFrame:
     """The fourteen indicators, one row per column; an indicator that does not apply is NULL."""
     freq = frequencies_once(df, columns)
-    facts = _with_storage(_facts(freq), dtypes or {})
+    facts = _with_storage(_facts_once(freq), dtypes or {})
     kept = freq.join(F.broadcast(_patterned(facts)), COLUMN, "left_semi")
     kind = F.col("type_semantique")
     n = F.col("n_remplies")

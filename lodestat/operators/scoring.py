@@ -105,16 +105,37 @@ def cohort_summary(both: DataFrame) -> DataFrame:
     )
 
 
+def _entries(cells: Mapping[str, Column], ordered: bool, top: int | None = None) -> Column:
+    """Array of (nom, contribution), strongest first if ``ordered``; built-in functions only."""
+    if not ordered:
+        return F.array(
+            *[F.struct(F.lit(n).alias("nom"), c.alias("contribution")) for n, c in cells.items()]
+        )
+    keyed = F.sort_array(
+        F.array(
+            *[
+                F.struct((-F.abs(c)).alias("k"), F.lit(n).alias("nom"), c.alias("contribution"))
+                for n, c in cells.items()
+            ]
+        )
+    )
+    kept = F.slice(keyed, 1, top) if top is not None else keyed
+    names, values = kept.getField("nom").alias("nom"), kept.getField("contribution")
+    return F.arrays_zip(names, values.alias("contribution"))
+
+
 def contributions(
     df: DataFrame,
     terms: Mapping[str, Column],
     intercept: float,
     themes: Mapping[str, str] | None = None,
+    ordered: bool = False,
+    top: int | None = None,
 ) -> DataFrame:
     """Exact additive log-odds of a linear model, per source variable and per theme.
 
     ``terms`` gives the summed ``coefficient × encoded value`` of each source variable. Adds
-    ``logit``, ``probability``, ``par_variable`` and ``par_theme`` (arrays of name, contribution).
+    ``logit``, ``probability``, ``par_variable`` and ``par_theme`` (arrays of nom, contribution).
     One projection: no shuffle and no Python.
     """
     by_theme: dict[str, list[str]] = {}
@@ -123,9 +144,6 @@ def contributions(
     cells = {name: f"_c{i}" for i, name in enumerate(terms)}
     wide = df.withColumns({cells[name]: term for name, term in terms.items()})
 
-    def entry(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("nom"), value.alias("contribution"))
-
     def total(names: Sequence[str]) -> Column:
         result = F.col(cells[names[0]])
         for name in names[1:]:
@@ -133,38 +151,27 @@ def contributions(
         return result
 
     logit = F.lit(float(intercept)) + total(list(terms))
+    variables = {n: F.col(c) for n, c in cells.items()}
+    grouped = {t: total(names) for t, names in by_theme.items()}
     return wide.withColumns(
         {
             "logit": logit,
             "probability": sigmoid(logit),
-            "par_variable": F.array(*[entry(n, F.col(c)) for n, c in cells.items()]),
-            "par_theme": F.array(*[entry(t, total(names)) for t, names in by_theme.items()]),
+            "par_variable": _entries(variables, ordered, top),
+            "par_theme": _entries(grouped, ordered),
         }
     ).drop(*cells.values())
 
 
-def strongest(entries: Column, top: int | None = None) -> Column:
-    """Contributions by decreasing magnitude, the ``top`` first ones if asked."""
-    keyed = F.transform(
-        entries,
-        lambda e: F.struct(
-            (-F.abs(e["contribution"])).alias("k"), e["nom"].alias("nom"), e["contribution"].alias("contribution")
-        ),
-    )
-    ordered = F.transform(
-        F.array_sort(keyed), lambda e: F.struct(e["nom"].alias("nom"), e["contribution"].alias("contribution"))
-    )
-    return ordered if top is None else F.slice(ordered, 1, top)
-
-
-def top_contributions(explained: DataFrame, top: int = TOP_VARIABLES) -> DataFrame:
-    """Explained rows with their strongest variables, and all themes strongest first."""
-    return explained.withColumns(
-        {
-            "par_variable": strongest(F.col("par_variable"), top),
-            "par_theme": strongest(F.col("par_theme")),
-        }
-    )
+def top_contributions(
+    df: DataFrame,
+    terms: Mapping[str, Column],
+    intercept: float,
+    themes: Mapping[str, str] | None = None,
+    top: int = TOP_VARIABLES,
+) -> DataFrame:
+    """``contributions`` with the strongest variables only, and all themes strongest first."""
+    return contributions(df, terms, intercept, themes, ordered=True, top=top)
 
 
 def global_importance(df: DataFrame, encoded: Mapping[str, Sequence[tuple[float, Column]]]) -> DataFrame:

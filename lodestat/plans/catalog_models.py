@@ -550,12 +550,14 @@ def _(spark, folder):
     + "]) AS l FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, array_to_string(list_transform(l[1:6], lambda x: x.nom), ',') AS variables FROM c",
 )
 def _(spark, folder):
-    top = scoring.top_contributions(_explained(spark, folder))
+    top = scoring.top_contributions(
+        table(spark, folder, "lineitem"), _terms(), -0.2, _THEMES
+    )
     return top.select(
         "l_orderkey",
         "l_partkey",
         "l_suppkey",
-        F.array_join(F.transform("par_variable", lambda e: e["nom"]), ",").alias("variables"),
+        F.array_join("par_variable.nom", ",").alias("variables"),
     )
 
 
