@@ -117,29 +117,41 @@ def quantiles(
     """
     probs = [float(p) for p in probabilities]
     lines = rows.select(*keys, value, F.lit(1).alias("_w"))
-    margin = 4.0 / accuracy
-    asked = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin)})
+    # A bracket must also cover the neighbouring ranks, which in a small table are wide apart:
+    # there a wider margin serves, and below a hundred rows the whole range.
+    margins = (4.0 / accuracy, max(0.02, 4.0 / accuracy))
+
+    def shifted(p: float, margin: float) -> float:
+        return min(max(p + margin, 0.0), 1.0)
+
+    asked = sorted({shifted(p, s * m) for p in probs for m in margins for s in (-1, 1)})
     sketch = F.percentile_approx(
         F.col(value), F.array(*[F.lit(p) for p in asked]), F.lit(accuracy)
     )
     found = lines.groupBy(*keys).agg(
-        sketch.alias("_marks"), F.min(value).alias("_least"), F.max(value).alias("_most")
-    )
-
-    def mark(p: float) -> Column:
-        if p <= 0:
-            return F.col("_least")
-        return F.col("_most") if p >= 1 else F.col("_marks")[asked.index(p)]
-
-    ends = [
-        (min(max(p - margin, 0.0), 1.0), min(max(p + margin, 0.0), 1.0)) for p in sorted(set(probs))
-    ]
-    lows = [f"_lo{i}" for i in range(len(ends))]
-    highs = [f"_hi{i}" for i in range(len(ends))]
+        sketch.alias("_marks"),
+        F.min(value).alias("_least"),
+        F.max(value).alias("_most"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+
+    def mark(p: float, sign: int) -> Column:
+        """End of the bracket of ``p`` on one side."""
+        whole = F.col("_least") if sign < 0 else F.col("_most")
+        end = whole
+        for margin in reversed(margins):
+            q = shifted(p, sign * margin)
+            inner = F.col("_marks")[asked.index(q)] if 0 < q < 1 else whole
+            end = F.when(F.col("_rows") * margin >= 2, inner).otherwise(end)
+        return end
+
+    wanted = sorted(set(probs))
+    lows = [f"_lo{i}" for i in range(len(wanted))]
+    highs = [f"_hi{i}" for i in range(len(wanted))]
     brackets = found.select(
         *keys,
-        *[mark(a).alias(c) for (a, _), c in zip(ends, lows)],
-        *[mark(b).alias(c) for (_, b), c in zip(ends, highs)],
+        *[mark(p, -1).alias(c) for p, c in zip(wanted, lows)],
+        *[mark(p, 1).alias(c) for p, c in zip(wanted, highs)],
     )
     v = F.col(value)
     inside = reduce(lambda a, b: a | b, [v.between(F.col(a), F.col(b)) for a, b in zip(lows, highs)])
