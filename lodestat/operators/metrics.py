@@ -2,6 +2,10 @@
 
 Everything that needs an order works on distinct scores with running totals, never on a global
 window. ``keys`` group several models, folds or subgroups in one pass.
+
+Per-key tables (totals, bucket offsets, bin edges) are broadcast: they hold a few hundred numbers
+per key, so keys are meant to be few. ``score_totals`` counts them and drops the hint beyond
+``FEW_KEYS``.
 """
 
 from __future__ import annotations
@@ -12,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.operators.ranks import quantiles, running_totals
+from lodestat.session import broadcast_if_few
 
 # The grid of decision thresholds.
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
+FEW_KEYS = 1_000  # groups whose bucket offsets are broadcast
 _ALL = "_tout"
 
 
@@ -34,8 +40,9 @@ def score_totals(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> Dat
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    ranked = running_totals(counts, keys, "score", ["pos", "neg"])
-    return ranked.join(F.broadcast(totals), keys).withColumns(
+    groups = 1 if keys == [_ALL] else keyed.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
+    ranked = running_totals(counts, keys, "score", ["pos", "neg"], groups <= FEW_KEYS)
+    return ranked.join(broadcast_if_few(totals, groups), keys).withColumns(
         {
             "tp": F.col("n_pos") - F.col("avant_pos"),
             "fp": F.col("n_neg") - F.col("avant_neg"),

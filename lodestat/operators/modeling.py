@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lodestat.operators.frequencies import long_numbers, present
 from lodestat.operators.metrics import classification_metrics, regression_metrics
 from lodestat.operators.ranks import quantiles
+from lodestat.session import broadcast_if_few, materialized
 
 MISSING_CATEGORY = "inconnu"  # fixed value
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
@@ -264,13 +265,14 @@ def out_of_fold(
 ) -> DataFrame:
     """Each row with ``p`` from a model that never saw it; ``df`` carries ``fold``.
 
-    Preprocessing is fitted again inside each fold.
+    Preprocessing is fitted again inside each fold. The scores are written once: metrics read
+    them in several branches, and none should score again.
     """
     parts = []
     for k in range(n_splits):
         fitted = family.fit(df.where(F.col("fold") != k), target, weight)
         parts.append(fitted.predict(df.where(F.col("fold") == k)))
-    return reduce(DataFrame.unionByName, parts)
+    return materialized(reduce(DataFrame.unionByName, parts))
 
 
 def _metrics(family: Family):
@@ -393,7 +395,8 @@ def with_class_weight(df: DataFrame, target: str, name: str = "poids") -> DataFr
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_k"))
     total = df.agg(F.count(F.lit(1))).scalar()
     weights = counts.select(target, (total / (2.0 * F.col("_k"))).alias(name))
-    return df.join(F.broadcast(weights), target)
+    classes = df.agg(F.approx_count_distinct(target)).first()[0]
+    return df.join(broadcast_if_few(weights, classes), target)
 
 
 def compare_weighting(df: DataFrame, family: Family, target: str, n_splits: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.operators.ranks import hash_cuts, seeded_hash
+from lodestat.session import broadcast_if_few
 
 _CLASS, _HASH, _CUTS = "_classe", "_hash", "_coupes"
 
@@ -19,7 +20,8 @@ def _with_cuts(df: DataFrame, key: Sequence[str], stratify: str | None, seed: in
         {_CLASS: F.coalesce(group, F.lit("")), _HASH: seeded_hash(seed, *key)}
     )
     cuts = hash_cuts(hashed, [_CLASS], _HASH, sizes).withColumnRenamed("coupes", _CUTS)
-    return hashed.join(F.broadcast(cuts), _CLASS, "left")
+    classes = df.agg(F.approx_count_distinct(group)).first()[0] if stratify else 1
+    return hashed.join(broadcast_if_few(cuts, classes), _CLASS, "left")
 
 
 def stratified_split(

@@ -40,7 +40,11 @@ def _splitters(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return chosen.groupBy(*keys).agg(F.sort_array(F.collect_list("_pick")).alias(_SPLITTERS))
 
 
-def _bucketed(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def _hinted(table: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(table) if few else table
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], value: str, few: bool) -> DataFrame:
     """Adds the number of splitters at or below the value: whole blocks first, then the rest."""
 
     def reached(position: Column) -> Column:
@@ -50,7 +54,7 @@ def _bucketed(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     coarse = reduce(add, [reached(F.lit(_BLOCK * j - 1)) for j in range(1, _BLOCK + 1)])
     fine = reduce(add, [reached(F.col(_COARSE) * _BLOCK + j) for j in range(_BLOCK)])
     return (
-        df.join(F.broadcast(_splitters(df, keys, value)), list(keys))
+        df.join(_hinted(_splitters(df, keys, value), few), list(keys))
         .withColumn(_COARSE, coarse)
         .withColumn(_BUCKET, F.col(_COARSE) * _BLOCK + fine)
         .drop(_SPLITTERS, _COARSE)
@@ -70,19 +74,21 @@ def _offsets(bucketed: DataFrame, keys: Sequence[str], measures: Sequence[str])
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]
+    df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], few: bool = True
 ) -> DataFrame:
     """Adds ``avant_<measure>``: the sum of the measure over strictly smaller values of the key.
 
     ``df`` holds one row per key and distinct value. Missing values must be filtered out before.
+    The splitters and offsets, at most ``SLOTS + 1`` numbers per key, are broadcast; say
+    ``few=False`` when keys are not few, and they are joined as the planner sees fit.
     """
-    bucketed = _bucketed(df, keys, value)
+    bucketed = _bucketed(df, keys, value, few)
     offsets = _offsets(bucketed, keys, measures).drop(*[f"_in_{m}" for m in measures])
     within = (
         Window.partitionBy(*keys, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        bucketed.join(F.broadcast(offsets), [*keys, _BUCKET])
+        bucketed.join(_hinted(offsets, few), [*keys, _BUCKET])
         .withColumns(
             {
                 f"avant_{m}": F.coalesce(F.sum(m).over(within), F.lit(0)) + F.col(f"_off_{m}")

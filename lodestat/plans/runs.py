@@ -134,7 +134,7 @@ def retrain(raw: DataFrame, spec: Spec) -> TrainedRun:
     )
     test = marked.where("est_test").drop("est_test")
     by_class, by_value = _families(spec, train.drop("fold"))
-    oof = materialized(out_of_fold(train, by_class, spec.target, spec.n_splits))
+    oof = out_of_fold(train, by_class, spec.target, spec.n_splits)
     threshold = metrics.pick_threshold(
         oof, spec.target, "p", recall_target=spec.recall_target
     ).first()["seuil"]

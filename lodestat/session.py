@@ -8,6 +8,9 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEW_GROUPS = 100_000
 
 
 def new_session(app: str = "lodestat", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,6 +65,14 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_few(table: DataFrame, groups: int, limit: int = FEW_GROUPS) -> DataFrame:
+    """``table`` (one small row per group) hinted for broadcast when the groups were counted few.
+
+    Beyond the limit there is no hint, and the planner decides on measured sizes.
+    """
+    return F.broadcast(table) if groups <= limit else table
+
+
 def ship_by_value(module: str) -> None:
     """Sends the functions of a module to the tasks themselves: executors need no install."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
