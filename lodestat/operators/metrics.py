@@ -15,34 +15,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.operators.ranks import quantiles, running_totals
-from lodestat.session import broadcast_if_few
+from lodestat.operators.ranks import attach, quantiles, running_totals
 
 # The grid of decision thresholds.
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 FEW_KEYS = 1_000  # groups whose bucket offsets are broadcast
-_ALL = "_tout"
-
-
-def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
-
-
-def _unkeyed(df: DataFrame) -> DataFrame:
-    return df.drop(_ALL)
 
 
 def score_totals(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct score: positives and negatives at it, and at or above it (tp, fp)."""
-    keyed, keys = _keyed(df, keys)
+    keys = list(keys)
     positive = F.col(y) == 1
-    counts = keyed.groupBy(*keys, F.col(p).cast("double").alias("score")).agg(
+    counts = df.groupBy(*keys, F.col(p).cast("double").alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    groups = 1 if keys == [_ALL] else keyed.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
-    ranked = running_totals(counts, keys, "score", ["pos", "neg"], groups <= FEW_KEYS)
-    return ranked.join(broadcast_if_few(totals, groups), keys).withColumns(
+    few = not keys or df.agg(F.approx_count_distinct(F.struct(*keys))).first()[0] <= FEW_KEYS
+    ranked = running_totals(counts, keys, "score", ["pos", "neg"], few)
+    return attach(ranked, totals, keys, ["n_pos", "n_neg"], few).withColumns(
         {
             "tp": F.col("n_pos") - F.col("avant_pos"),
             "fp": F.col("n_neg") - F.col("avant_neg"),
@@ -50,25 +40,19 @@ def score_totals(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> Dat
     )
 
 
-def _group_of(df: DataFrame, keys: Sequence[str]) -> list[str]:
-    return list(keys) or [_ALL]
-
-
 def roc_auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, roc_auc): probability that a positive outranks a negative, ties counting half."""
     t = score_totals(df, y, p, keys)
     wins = F.col("pos") * (F.col("avant_neg") + F.col("neg") / 2.0)
     total = F.first("n_pos").cast("double") * F.first("n_neg")
-    return _unkeyed(
-        t.groupBy(*_group_of(t, keys)).agg(F.try_divide(F.sum(wins), total).alias("roc_auc"))
-    )
+    return t.groupBy(*keys).agg(F.try_divide(F.sum(wins), total).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, pr_auc): step sum of precision over the gains of recall."""
     t = score_totals(df, y, p, keys)
     step = F.col("pos") / F.col("n_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    return _unkeyed(t.groupBy(*_group_of(t, keys)).agg(F.sum(step).alias("pr_auc")))
+    return t.groupBy(*keys).agg(F.sum(step).alias("pr_auc"))
 
 
 def brier(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,12 +67,10 @@ def classification_metrics(df: DataFrame, y: str, p: str, keys: Sequence[str] =
     wins = pos * (F.col("avant_neg") + neg / 2.0)
     step = pos / F.col("n_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
     squares = pos * (score - 1) * (score - 1) + neg * score * score
-    return _unkeyed(
-        t.groupBy(*_group_of(t, keys)).agg(
-            F.try_divide(F.sum(wins), F.first("n_pos").cast("double") * F.first("n_neg")).alias("roc_auc"),
-            F.sum(step).alias("pr_auc"),
-            (F.sum(squares) / F.sum(pos + neg)).alias("brier"),
-        )
+    return t.groupBy(*keys).agg(
+        F.try_divide(F.sum(wins), F.first("n_pos").cast("double") * F.first("n_neg")).alias("roc_auc"),
+        F.sum(step).alias("pr_auc"),
+        (F.sum(squares) / F.sum(pos + neg)).alias("brier"),
     )
 
 
@@ -107,29 +89,28 @@ def roc_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFr
     """(keys, seuil, fpr, tpr) at each distinct score, and the origin (seuil infinite)."""
     t = score_totals(df, y, p, keys)
     points = t.select(
-        *_group_of(t, keys),
+        *keys,
         F.col("score").alias("seuil"),
         (F.col("fp") / F.col("n_neg")).alias("fpr"),
         (F.col("tp") / F.col("n_pos")).alias("tpr"),
     )
-    keyed, names = _keyed(df, keys)
-    origin = keyed.select(*names).distinct().select(
-        *names, F.lit(float("inf")).alias("seuil"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
+    origin = df.groupBy(*keys).agg(
+        F.max(F.lit(float("inf"))).alias("seuil"),
+        F.max(F.lit(0.0)).alias("fpr"),
+        F.max(F.lit(0.0)).alias("tpr"),
     )
-    return _unkeyed(points.unionByName(origin))
+    return points.unionByName(origin)
 
 
 def pr_curve(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, seuil, rappel, precision, prevalence) at each distinct score."""
     t = score_totals(df, y, p, keys)
-    return _unkeyed(
-        t.select(
-            *_group_of(t, keys),
-            F.col("score").alias("seuil"),
-            (F.col("tp") / F.col("n_pos")).alias("rappel"),
-            (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-            (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("prevalence"),
-        )
+    return t.select(
+        *keys,
+        F.col("score").alias("seuil"),
+        (F.col("tp") / F.col("n_pos")).alias("rappel"),
+        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("prevalence"),
     )
 
 
@@ -140,13 +121,13 @@ def calibration_curve(
 
     The bin of a score is the number of inner edges strictly below it; empty bins do not show.
     """
-    keyed, names = _keyed(df.select(*keys, F.col(y).alias("_y"), F.col(p).cast("double").alias("_p")), keys)
+    rows = df.select(*keys, F.col(y).alias("_y"), F.col(p).cast("double").alias("_p"))
     inner = [i / n_bins for i in range(1, n_bins)]
-    edges = quantiles(keyed, inner, names, "_p").withColumnRenamed("quantiles", "_edges")
+    edges = quantiles(rows, inner, keys, "_p").withColumnRenamed("quantiles", "_edges")
     place = F.size(F.filter("_edges", lambda e: e < F.col("_p")))
-    return _unkeyed(
-        keyed.join(F.broadcast(edges), names)
-        .groupBy(*names, place.alias("classe"))
+    return (
+        attach(rows, edges, keys, ["_edges"])
+        .groupBy(*keys, place.alias("classe"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg("_p").alias("moyenne_predite"),

@@ -7,21 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.operators.ranks import hash_cuts, seeded_hash
-from lodestat.session import broadcast_if_few
+from lodestat.operators.ranks import attach, hash_cuts, seeded_hash
+from lodestat.session import FEW_GROUPS
 
 _CLASS, _HASH, _CUTS = "_classe", "_hash", "_coupes"
 
 
 def _with_cuts(df: DataFrame, key: Sequence[str], stratify: str | None, seed: int, sizes) -> DataFrame:
     """Rows with their hash and the cuts of their class (one small row per class)."""
-    group = F.col(stratify).cast("string") if stratify else F.lit("")
-    hashed = df.withColumns(
-        {_CLASS: F.coalesce(group, F.lit("")), _HASH: seeded_hash(seed, *key)}
-    )
-    cuts = hash_cuts(hashed, [_CLASS], _HASH, sizes).withColumnRenamed("coupes", _CUTS)
-    classes = df.agg(F.approx_count_distinct(group)).first()[0] if stratify else 1
-    return hashed.join(broadcast_if_few(cuts, classes), _CLASS, "left")
+    hashed = df.withColumn(_HASH, seeded_hash(seed, *key))
+    if stratify is None:
+        cuts = hash_cuts(hashed, [], _HASH, sizes).withColumnRenamed("coupes", _CUTS)
+        return attach(hashed, cuts, [], [_CUTS])
+    group = F.coalesce(F.col(stratify).cast("string"), F.lit(""))
+    classed = hashed.withColumn(_CLASS, group)
+    cuts = hash_cuts(classed, [_CLASS], _HASH, sizes).withColumnRenamed("coupes", _CUTS)
+    classes = df.agg(F.approx_count_distinct(group)).first()[0]
+    return attach(classed, cuts, [_CLASS], [_CUTS], classes <= FEW_GROUPS)
 
 
 def stratified_split(

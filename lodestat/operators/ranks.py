@@ -40,8 +40,15 @@ def _splitters(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return chosen.groupBy(*keys).agg(F.sort_array(F.collect_list("_pick")).alias(_SPLITTERS))
 
 
-def _hinted(table: DataFrame, few: bool) -> DataFrame:
-    return F.broadcast(table) if few else table
+def attach(
+    df: DataFrame, table: DataFrame, keys: Sequence[str], columns: Sequence[str], few: bool = True
+) -> DataFrame:
+    """Columns of a table with one row per key. Without keys its single row is a scalar sub-query."""
+    if not keys:
+        row = table.agg(F.first(F.struct(*columns))).scalar()
+        return df.withColumns({c: row.getField(c) for c in columns})
+    hinted = F.broadcast(table) if few else table
+    return df.join(hinted, list(keys), "left")
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], value: str, few: bool) -> DataFrame:
@@ -54,7 +61,7 @@ def _bucketed(df: DataFrame, keys: Sequence[str], value: str, few: bool) -> Data
     coarse = reduce(add, [reached(F.lit(_BLOCK * j - 1)) for j in range(1, _BLOCK + 1)])
     fine = reduce(add, [reached(F.col(_COARSE) * _BLOCK + j) for j in range(_BLOCK)])
     return (
-        df.join(_hinted(_splitters(df, keys, value), few), list(keys))
+        attach(df, _splitters(df, keys, value), keys, [_SPLITTERS], few)
         .withColumn(_COARSE, coarse)
         .withColumn(_BUCKET, F.col(_COARSE) * _BLOCK + fine)
         .drop(_SPLITTERS, _COARSE)
@@ -88,7 +95,7 @@ def running_totals(
         Window.partitionBy(*keys, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        bucketed.join(_hinted(offsets, few), [*keys, _BUCKET])
+        bucketed.join(F.broadcast(offsets) if few else offsets, [*keys, _BUCKET])
         .withColumns(
             {
                 f"avant_{m}": F.coalesce(F.sum(m).over(within), F.lit(0)) + F.col(f"_off_{m}")
@@ -166,7 +173,7 @@ def quantiles(
     for high in highs:
         gap = F.when(v > F.col(high), F.col(high)).otherwise(gap)
     counted = (
-        lines.join(F.broadcast(brackets), list(keys))
+        attach(lines, brackets, keys, [*lows, *highs])
         .select(*keys, "_w", inside.alias("_exact"), F.when(inside, v).otherwise(gap).alias("_v"))
         .groupBy(*keys, "_v", "_exact")
         .agg(F.sum("_w").alias("_w"))
