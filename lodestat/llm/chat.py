@@ -228,7 +228,9 @@ def _recorded(rows: DataFrame) -> DataFrame:
         for part in batches:
             columns = [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
             records = [
-                canonical({"arguments": parsed(a), "call_id": c, "depth": d, "result": parsed(r), "tool": t}) if s == "linked" else None
+                canonical({"arguments": parsed(a), "call_id": c, "depth": d, "result": None if r is None else parsed(r), "tool": t})
+                if s == "linked"
+                else None
                 for s, a, c, d, r, t in zip(*columns)
             ]
             yield part.append_column("record", pa.array(records, type=pa.string()))

@@ -56,8 +56,8 @@ def first_map(shards: int, slots: int = SLOTS) -> list[int]:
 def rebalanced(shard_of: list[int], sizes: dict[int, int], shards: int) -> list[int]:
     """The next version: slots move, one at a time, from the fullest shard to the emptiest.
 
-    The slot moved is the one whose size is nearest to half the gap, so that each move narrows it; the
-    edit ends when no move does. Ties go to the smaller slot number.
+    The slot moved is the one whose size is nearest to half the gap, so that each move narrows it. A shard
+    that one large slot fills is passed over. The edit ends when no move helps; ties go to the smaller number.
     """
     shard_of = list(shard_of)
     held: list[dict[int, int]] = [{} for _ in range(shards)]
@@ -65,11 +65,13 @@ def rebalanced(shard_of: list[int], sizes: dict[int, int], shards: int) -> list[
         held[shard_of[slot]][slot] = size
     load = [sum(h.values()) for h in held]
     while True:
-        full = max(range(shards), key=lambda s: (load[s], -s))
         empty = min(range(shards), key=lambda s: (load[s], s))
-        gap = load[full] - load[empty]
-        movable = [(abs(2 * size - gap), slot) for slot, size in held[full].items() if 0 < size < gap]
-        if not movable:
+        for full in sorted(range(shards), key=lambda s: (-load[s], s)):
+            gap = load[full] - load[empty]
+            movable = [(abs(2 * size - gap), slot) for slot, size in held[full].items() if 0 < size < gap]
+            if movable:
+                break
+        else:
             return shard_of
         slot = min(movable)[1]
         size = held[full].pop(slot)

@@ -27,7 +27,7 @@ def test_linking(spark):
         spark.createDataFrame(results, "conv_id bigint, call_id string, content string"),
         spark.createDataFrame(schemas, "tool string, schema string"),
     ).collect()
-    assert len(found) == 14
+    assert len(found) == 13
     got = {(r.conv_id, r.call_id): (r.status, r.depth) for r in found}
     assert got[1, "a"] == ("linked", 0) and got[1, "b"] == ("linked", 1) and got[1, "c"] == ("invalid", 2)
     assert got[1, "e"] == got[1, "f"] == got[1, "g"] == ("cyclic", None)
