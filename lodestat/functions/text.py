@@ -118,19 +118,15 @@ def has_unit(col: Column) -> Column:
     return trailing_unit(col).isNotNull()
 
 
-def generalize_pattern(col: Column, max_length: int = 48) -> Column:
+def whole_pattern(col: Column) -> Column:
     """Shape of a value as a regular expression: digit and letter runs with their length.
 
     Runs are cut by inserting a separator wherever the character class changes, so the work is
     proportional to the text and stays inside the JVM.
     """
-    # Every run adds at least one character to the shape, so later runs cannot show in it.
-    head = F.regexp_extract(
-        col, rf"(?s)^(?:\d++|\p{{L}}++|([^\d\p{{L}}])\1*+){{0,{max_length + 1}}}+", 0
-    )
     # Private-use characters stand for the classes and the cuts; literals keep their own.
     digit, letter, cut = "\ue000", "\ue001", "\ue002"
-    classes = F.regexp_replace(F.regexp_replace(head, r"\d", digit), r"\p{L}", letter)
+    classes = F.regexp_replace(F.regexp_replace(col, r"\d", digit), r"\p{L}", letter)
     runs = F.split(F.regexp_replace(classes, r"(?s)(.)(?!\1)", "$1" + cut), cut)
 
     def written(run: Column) -> Column:
@@ -146,12 +142,21 @@ def generalize_pattern(col: Column, max_length: int = 48) -> Column:
             F.concat(token, F.lit("{"), size.cast("string"), F.lit("}"))
         )
 
-    shape = F.array_join(F.transform(runs, written), "")
+    return F.array_join(F.transform(runs, written), "")
+
+
+def shown_pattern(shape: Column, max_length: int = 48) -> Column:
+    """A shape short enough to read. Count and group on the whole shape: shortened ones can coincide."""
     return F.when(F.length(shape) <= max_length, shape).otherwise(
         F.concat(F.substring(shape, 1, max_length), F.lit("…"))
     )
 
 
+def generalize_pattern(col: Column, max_length: int = 48) -> Column:
+    """Shape of a value, shortened for display."""
+    return shown_pattern(whole_pattern(col), max_length)
+
+
 def variant_table(vocabulary: Mapping[str, Sequence[str]]) -> dict[str, str]:
     """Spelling → canonical label, from a vocabulary written canonical label → spellings."""
     return {spelling: label for label, spellings in vocabulary.items() for spelling in spellings}

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from lodestat.operators.frequencies import long_numbers, present
 from lodestat.operators.metrics import classification_metrics, regression_metrics
+from lodestat.operators.protocol import assign_folds
 from lodestat.operators.ranks import quantiles
-from lodestat.session import broadcast_if_few, materialized
+from lodestat.session import materialized
 
 MISSING_CATEGORY = "inconnu"  # fixed value
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
@@ -186,7 +187,7 @@ class Family:
             FEATURES,
             F.col(target).cast("double").alias(LABEL),
             (F.col(weight) if weight else F.lit(1.0)).cast("double").alias(WEIGHT),
-        )
+        ).where(F.col(LABEL).isNotNull() & F.col(WEIGHT).isNotNull())
         rows, deviation = labelled.agg(F.count(F.lit(1)), F.stddev_pop(LABEL)).first()
         estimator = self.estimator(rows, deviation)
         if weight:
@@ -391,12 +392,14 @@ def random_candidates(
 
 
 def with_class_weight(df: DataFrame, target: str, name: str = "poids") -> DataFrame:
-    """Balanced weights n / (2 · n_class), the class counts being one small table."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_k"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    weights = counts.select(target, (total / (2.0 * F.col("_k"))).alias(name))
-    classes = df.agg(F.approx_count_distinct(target)).first()[0]
-    return df.join(broadcast_if_few(weights, classes), target)
+    """Balanced weights n / (2 · n_class) over the labelled rows; a row without label has no weight.
+
+    The class counts are one small row per class; adaptive execution picks the join by their size.
+    """
+    counts = df.groupBy(F.col(target).alias("_classe")).agg(F.count(target).alias("_k"))
+    total = df.agg(F.count(target)).scalar()
+    weights = counts.where(F.col("_k") > 0).select("_classe", (total / (2.0 * F.col("_k"))).alias(name))
+    return df.join(weights, F.col(target) == F.col("_classe"), "left").drop("_classe")
 
 
 def compare_weighting(df: DataFrame, family: Family, target: str, n_splits: int = 5) -> DataFrame:
@@ -411,27 +414,36 @@ def compare_weighting(df: DataFrame, family: Family, target: str, n_splits: int
 
 
 def isotonic_recalibration(
-    df: DataFrame, family: Family, target: str, n_splits: int = 5, inner_splits: int = 5
+    df: DataFrame,
+    family: Family,
+    target: str,
+    n_splits: int = 5,
+    inner_splits: int = 5,
+    key: Sequence[str] = ("doc_id",),
+    seed: int = 0,
 ) -> DataFrame:
     """(version, brier) before and after isotonic calibration learnt in inner folds.
 
-    For each outer fold the other folds are scored out of fold, and the isotonic fit on those
-    scores corrects the outer fold. ``df`` carries ``fold``.
+    For each outer fold the other rows are dealt into ``inner_splits`` folds of their own. A model of all but one
+    inner fold is calibrated on that one, and the mean of the calibrated models scores the outer fold. ``df``
+    carries ``fold``; ``key`` identifies its rows.
     """
     parts = []
     for k in range(n_splits):
-        inside = df.where(F.col("fold") != k)
-        rank = F.when(F.col("fold") > k, F.col("fold") - 1).otherwise(F.col("fold"))
-        nested = inside.withColumn("fold", F.pmod(rank, F.lit(min(inner_splits, n_splits - 1))))
-        inner = out_of_fold(nested, family, target, min(inner_splits, n_splits - 1))
-        calibrator = IsotonicRegression(featuresCol="p", labelCol=LABEL).fit(
-            inner.select("p", F.col(target).cast("double").alias(LABEL))
-        )
-        raw = family.fit(inside, target).predict(df.where(F.col("fold") == k))
-        parts.append(
-            calibrator.transform(raw.select(target, "p")).select(target, "p", "prediction")
-        )
-    scored = reduce(DataFrame.unionByName, parts)
+        inside = assign_folds(df.where(F.col("fold") != k).drop("fold"), key, inner_splits, seed + 1 + k, target)
+        scored = family.fit(inside, target).predict(df.where(F.col("fold") == k), "_brute")
+        columns = [f"_c{j}" for j in range(inner_splits)]
+        for j, column in enumerate(columns):
+            fitted = family.fit(inside.where(F.col("fold") != j), target)
+            held = fitted.predict(inside.where(F.col("fold") == j), "p")
+            calibrator = IsotonicRegression(featuresCol="p", labelCol=LABEL).fit(
+                held.select("p", F.col(target).cast("double").alias(LABEL)).where(F.col(LABEL).isNotNull())
+            )
+            calibrated = calibrator.transform(fitted.predict(scored, "p"))
+            scored = calibrated.withColumnRenamed("prediction", column).drop("p")
+        mean = reduce(lambda a, b: a + b, [F.col(c) for c in columns]) / inner_splits
+        parts.append(scored.select(target, F.col("_brute").alias("p"), mean.alias("prediction")))
+    scored = materialized(reduce(DataFrame.unionByName, parts))
     versions = F.explode(
         F.array(
             F.struct(F.lit("brute").alias("version"), F.col("p").alias("q")),

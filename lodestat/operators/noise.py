@@ -3,9 +3,9 @@
 Permuting one column destroys its link with another and leaves both margins intact, so a draw is
 a random table with fixed margins. Tables are drawn from the margins alone: the value counts of
 one side, cut into buckets that tasks draw in parallel, and the group sizes of the other side.
-The share of each group that falls in each bucket is itself drawn first, the same way by every
-task of a pair (seeded), so the buckets together make one exact permutation. The cost depends on
-the distinct values, not on the rows.
+The share of each group that falls in each bucket is itself drawn first, down a binary tree whose
+forks all tasks of a pair draw alike (seeded), so the buckets together make one exact permutation.
+The cost depends on the distinct values, not on the rows.
 """
 
 from __future__ import annotations
@@ -19,27 +19,71 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.text import as_modality
 from lodestat.operators.frequencies import present
-from lodestat.session import ship_by_value
+from lodestat.session import materialized, ship_by_value
 
 ship_by_value(__name__)
 
 VALUES_PER_TASK = 20_000
 MAX_GROUPS = 200_000  # group sizes travel with the tasks: 1.6 MB at most
+ROWS_AT_ONCE = 5_000_000  # drawn in one array; more rows are split first
 _LOTS = 8  # permutations are spread over this many tasks per bucket
-_EXACT_LIMIT = 1_000_000_000  # population up to which numpy draws hypergeometric numbers exactly
+_NUMPY_RANGE = 1_000_000_000  # population that numpy's generator accepts
 _PAIR = ["variable_1", "variable_2"]
 
 
-def _hypergeometric(rng: np.random.Generator, good, bad, drawn) -> np.ndarray:
-    """Hypergeometric numbers; beyond numpy's range, their normal limit kept on the support."""
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    """log(x!) in extended precision: the differences taken below stay exact to 1e-6 at 10¹² rows."""
+    z = x.astype(np.longdouble) + 1
+    shift = np.zeros_like(z)
+    for _ in range(8):  # Stirling's series wants a large argument
+        low = z < 16
+        shift = np.where(low, shift + np.log(np.where(low, z, 1)), shift)
+        z = np.where(low, z + 1, z)
+    for _ in range(8):
+        low = z < 16
+        shift = np.where(low, shift + np.log(np.where(low, z, 1)), shift)
+        z = np.where(low, z + 1, z)
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * np.log(z) - z + np.longdouble(0.918938533204672741780329736406) + series - shift
+
+
+def _ratio_of_uniforms(rng: np.random.Generator, good, bad, drawn) -> np.ndarray:
+    """Hypergeometric numbers for populations of any size, by ratio of uniforms (Stadlober 1990)."""
+    good, bad, drawn = (np.asarray(v, dtype="int64") for v in np.broadcast_arrays(good, bad, drawn))
     total = good + bad
-    if int(np.max(total, initial=0)) < _EXACT_LIMIT:
+    low, high = np.minimum(good, bad), np.maximum(good, bad)
+    few = np.minimum(drawn, total - drawn)
+    out = np.zeros(good.shape, dtype="int64")
+    share = low / np.maximum(total, 1)
+    mean = few * share
+    deviation = np.sqrt((total - few) * mean * (1 - share) / np.maximum(total - 1, 1) + 0.5)
+    width = 1.7155277699214135 * deviation + 0.8989161620588988
+    mode = np.floor((few + 1.0) * (low + 1.0) / (total + 2.0)).astype("int64")
+    peak = _log_factorial(mode) + _log_factorial(low - mode) + _log_factorial(few - mode) + _log_factorial(high - few + mode)
+    end = np.minimum(np.minimum(few, low) + 1.0, np.floor(mean + 0.5 + 16 * deviation))
+    open_ = np.flatnonzero((few > 0) & (low > 0))
+    while len(open_):
+        x, y = 1 - rng.random(len(open_)), rng.random(len(open_))
+        w = mean[open_] + 0.5 + width[open_] * (y - 0.5) / x
+        inside = (w >= 0) & (w < end[open_])
+        at, x, z = open_[inside], x[inside], np.floor(w[inside]).astype("int64")
+        height = peak[at] - (
+            _log_factorial(z) + _log_factorial(low[at] - z) + _log_factorial(few[at] - z) + _log_factorial(high[at] - few[at] + z)
+        )
+        taken = 2 * np.log(x) <= height
+        out[at[taken]] = z[taken]
+        done = np.zeros(len(good), dtype=bool)
+        done[at[taken]] = True
+        open_ = open_[~done[open_]]
+    out = np.where(good > bad, few - out, out)
+    return np.where(few < drawn, good - out, out)
+
+
+def _hypergeometric(rng: np.random.Generator, good, bad, drawn) -> np.ndarray:
+    """Hypergeometric numbers of one exact law; numpy draws them up to 10⁹ rows, its own method beyond."""
+    if int(np.max(good + bad, initial=0)) < _NUMPY_RANGE:
         return rng.hypergeometric(good, bad, drawn)
-    size = np.maximum(total, 1).astype("float64")
-    share = good / size
-    variance = drawn * share * (1 - share) * (size - drawn) / np.maximum(size - 1, 1)
-    value = np.rint(rng.normal(drawn * share, np.sqrt(np.maximum(variance, 0))))
-    return np.clip(value, np.maximum(0, drawn - bad), np.minimum(drawn, good)).astype("int64")
+    return _ratio_of_uniforms(rng, good, bad, drawn)
 
 
 def _split(rng: np.random.Generator, available: np.ndarray, size: int) -> np.ndarray:
@@ -55,6 +99,25 @@ def _split(rng: np.random.Generator, available: np.ndarray, size: int) -> np.nda
     return taken
 
 
+def _share(seeds: list[int], groups: np.ndarray, sizes: np.ndarray, bucket: int, permutations: int) -> np.ndarray:
+    """How many rows of each group fall in one bucket, one line per permutation.
+
+    The buckets are the leaves of a binary tree. Each fork splits the groups between its halves with a generator
+    of its own, so all tasks agree on every fork and each draws only those above its bucket.
+    """
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    available = np.tile(groups, (permutations, 1))
+    low, high = 0, len(sizes)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = _split(np.random.default_rng([*seeds, low, high]), available, int(before[middle] - before[low]))
+        if bucket < middle:
+            available, high = first, middle
+        else:
+            available, low = available - first, middle
+    return available
+
+
 class _Sums:
     """What a permuted table leaves of one bucket: all the statistics are sums over its values."""
 
@@ -74,38 +137,45 @@ class _Sums:
             self.c += cells
 
     def add_table(self, p: int, codes: np.ndarray, labels: np.ndarray) -> None:
-        """All the rows of one permutation: value code and group label of each."""
+        """Rows of successive values of one permutation: value code, in order, and group label of each."""
         g = len(self.groups)
         if self.kind == "v":
-            table = np.bincount(codes * g + labels, minlength=len(self.counts) * g)
-            table = table.reshape(-1, g)
-            self.q[p] = ((table / self.counts[:, None]) * (table / self.groups)).sum()
+            low, high = int(codes[0]), int(codes[-1]) + 1
+            table = np.bincount((codes - low) * g + labels, minlength=(high - low) * g).reshape(-1, g)
+            self.q[p] += ((table / self.counts[low:high, None]) * (table / self.groups)).sum()
         else:
             keep = self.valid[codes]
             where, what = labels[keep], self.values[codes[keep]]
-            self.s[p] = np.bincount(where, weights=what, minlength=g)
-            self.c[p] = np.bincount(where, minlength=g)
+            self.s[p] += np.bincount(where, weights=what, minlength=g)
+            self.c[p] += np.bincount(where, minlength=g)
 
 
-def _draw_bucket(rng, sums: _Sums, available: np.ndarray) -> None:
-    """Draws the bucket's tables the cheaper way: value by value, or row by row."""
+def _draw_bucket(rng, sums: _Sums, available: np.ndarray, low: int = 0, high: int | None = None) -> None:
+    """Draws the tables of the values [low, high): row by row where that is cheaper and fits in memory.
+
+    A stretch with too many rows for that is halved, the groups being split between the halves first; a
+    value on its own takes what is left. Each way draws from the same law.
+    """
     permutations, g = available.shape
-    counts = sums.counts
-    rows, lines = int(counts.sum()), len(counts)
+    high = len(sums.counts) if high is None else high
+    counts = sums.counts[low:high]
+    rows, lines = int(counts.sum()), high - low
+    if lines == 1:
+        sums.add_line(low, available)
+        return
     by_value = lines * (g - 1) * (15e-6 + permutations * 0.15e-6)
     by_row = permutations * (50e-6 + rows * 25e-9)
-    if by_row < by_value and rows <= 5_000_000:
-        codes = np.repeat(np.arange(lines), counts)
+    if by_row < by_value and rows <= ROWS_AT_ONCE:
+        codes = np.repeat(np.arange(low, high), counts)
         for p in range(permutations):
             labels = np.repeat(np.arange(g), available[p])
             rng.shuffle(labels)
             sums.add_table(p, codes, labels)
         return
-    remaining = available.copy()
-    for i in range(lines):
-        cells = remaining if i == lines - 1 else _split(rng, remaining, int(counts[i]))
-        sums.add_line(i, cells)
-        remaining = remaining - cells
+    middle = (low + high) // 2
+    first = _split(rng, available, int(sums.counts[low:middle].sum()))
+    _draw_bucket(rng, sums, first, low, middle)
+    _draw_bucket(rng, sums, available - first, middle, high)
 
 
 def _collect_sizes(freq: DataFrame, names: list[str]) -> dict[str, np.ndarray]:
@@ -204,12 +274,7 @@ def permutation_draws(
         out = []
         for index, second in tests[column] if permutations > 0 else []:
             groups = sizes[second]
-            shared = np.random.default_rng([seed, index, lot])
-            available = np.tile(groups, (permutations, 1))
-            for size in totals[column][:bucket]:
-                available = available - _split(shared, available, int(size))
-            if bucket < len(totals[column]) - 1:
-                available = _split(shared, available, int(totals[column][bucket]))
+            available = _share([seed, index, lot], groups, totals[column], bucket, permutations)
             sums = _Sums(kind, counts, values, groups, permutations)
             _draw_bucket(np.random.default_rng([seed, index, lot, bucket + 1]), sums, available)
             out.append(
@@ -291,7 +356,11 @@ def permutation_test(
     kind: str = "v",
     quantile: float = 0.95,
 ) -> DataFrame:
-    """``observed`` pairs with their own noise ceiling and p-value."""
+    """``observed`` pairs with their own noise ceiling and p-value.
+
+    ``observed`` has one row per pair; it is written once, and read for its names and for its values.
+    """
+    observed = materialized(observed)
     pairs = [(r["variable_1"], r["variable_2"]) for r in observed.select(*_PAIR).collect()]
     pairs.sort()
     draws = permutation_draws(df, pairs, n_permutations, seed, kind)

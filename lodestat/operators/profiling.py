@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from lodestat.functions.dates import CANDIDATE_DATE_FORMATS, date_mask, read_date
 from lodestat.functions.numbers import parse_number
 from lodestat.functions.text import (
-    generalize_pattern,
     is_boolean_word,
     is_null_sentinel,
     normalize_text,
     recode_value,
+    shown_pattern,
     trailing_unit,
+    whole_pattern,
 )
 from lodestat.operators.frequencies import COLUMN, COUNT, VALUE, value_frequencies
 from lodestat.session import materialized
@@ -27,8 +28,6 @@ CATEGORICAL_MAX_RATIO = 0.10
 IDENTIFIER_MIN_RATIO = 0.95
 IDENTIFIER_MIN_ROWS = 30
 PATTERNED_TYPES = ("entier", "decimal", "date", "identifiant")
-MAX_MODALITIES = 20
-MAX_PATTERNS = 12
 OVERVIEW_COLUMNS = (
     "colonne",
     "type_reel",
@@ -348,16 +347,17 @@ def remarks(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def _patterns(freq: DataFrame) -> DataFrame:
-    """(colonne, motif, n, exemple): how often each writing pattern occurs."""
+    """(colonne, forme, motif, n, exemple): how often each whole shape occurs; ``motif`` is for reading."""
     return (
         _filled(freq)
-        .groupBy(COLUMN, generalize_pattern(F.col(VALUE)).alias("motif"))
+        .groupBy(COLUMN, whole_pattern(F.col(VALUE)).alias("forme"))
         .agg(F.sum(F.col(COUNT)).alias("n"), F.min(F.col(VALUE)).alias("exemple"))
+        .withColumn("motif", shown_pattern(F.col("forme")))
     )
 
 
 def _dominant(patterns: DataFrame) -> DataFrame:
-    top = F.min(F.struct((-F.col("n")).alias("k"), F.col("motif").alias("motif")))
+    top = F.min(F.struct((-F.col("n")).alias("k"), F.col("forme"), F.col("motif")))
     return patterns.groupBy(COLUMN).agg(
         F.count(F.lit(1)).alias("n_motifs"), top.alias("_top"), F.sum("n").alias("_n")
     ).select(
@@ -478,43 +478,31 @@ def null_sentinels(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     )
 
 
-def _listed(groups: DataFrame, most: int) -> DataFrame:
-    """Groups of the columns that have at most ``most`` of them, with their share in %."""
-    totals = groups.groupBy(COLUMN).agg(
-        F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_total")
-    ).where(F.col("_k") <= most)
-    return groups.join(F.broadcast(totals), COLUMN).withColumn(
+def _shares(groups: DataFrame, count: str) -> DataFrame:
+    """Groups with the number of groups of their column, as ``count``, and their share of it in %."""
+    totals = groups.groupBy(COLUMN).agg(F.count(F.lit(1)).alias(count), F.sum("n").alias("_total"))
+    return groups.join(F.broadcast(totals), COLUMN).withColumn(  # one row per column
         "part_%", 100 * F.col("n") / F.col("_total")
     )
 
 
-def modality_breakdown(
-    df: DataFrame, columns: Sequence[str] | None = None, max_modalities: int = MAX_MODALITIES
-) -> DataFrame:
-    """(colonne, modalite, n, part_%, ecritures) of the columns with few enough modalities."""
+def modality_breakdown(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(colonne, modalite, n, part_%, n_modalites, ecriture, n_ecriture), one row per spelling.
+
+    Every column is listed, however many modalities it has: ``n_modalites`` says which are worth reading.
+    """
     keyed = _filled(frequencies_once(df, columns)).withColumn("modalite", normalize_text(F.col(VALUE)))
-    counts = keyed.groupBy(COLUMN, "modalite").agg(F.sum(COUNT).alias("n"))
-    few = _listed(counts, max_modalities)
-    spelled = (
-        keyed.join(F.broadcast(few.select(COLUMN).distinct()), COLUMN, "left_semi")
-        .groupBy(COLUMN, "modalite")
-        .agg(F.array_sort(F.collect_set(VALUE)).alias("ecritures"))
-    )
-    return (
-        spelled.join(F.broadcast(few), [COLUMN, "modalite"])
-        .select(COLUMN, "modalite", "n", "part_%", "ecritures")
-        .orderBy(COLUMN, F.desc("n"), "modalite")
+    counts = _shares(keyed.groupBy(COLUMN, "modalite").agg(F.sum(COUNT).alias("n")), "n_modalites")
+    spellings = keyed.select(COLUMN, "modalite", F.col(VALUE).alias("ecriture"), F.col(COUNT).alias("n_ecriture"))
+    return spellings.join(counts, [COLUMN, "modalite"]).select(
+        COLUMN, "modalite", "n", "part_%", "n_modalites", "ecriture", "n_ecriture"
     )
 
 
-def pattern_breakdown(
-    df: DataFrame, columns: Sequence[str] | None = None, max_patterns: int = MAX_PATTERNS
-) -> DataFrame:
-    """(colonne, motif, n, part_%, exemple) of the columns with few enough patterns."""
-    return (
-        _listed(_patterns(value_frequencies(df, columns)), max_patterns)
-        .select(COLUMN, "motif", "n", "part_%", "exemple")
-        .orderBy(COLUMN, F.desc("n"), "motif")
+def pattern_breakdown(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(colonne, motif, n, part_%, n_motifs, exemple), one row per whole shape, of every column."""
+    return _shares(_patterns(value_frequencies(df, columns)), "n_motifs").select(
+        COLUMN, "motif", "n", "part_%", "n_motifs", "exemple"
     )
 
 

@@ -6,7 +6,7 @@ A window over the whole table would send it to one task. Three ways around it, b
   sums run within a bucket only, and the total of the lower buckets (a few hundred numbers per
   key) is added.
 * ``quantiles``: a sketch brackets each wanted quantile, rows outside the brackets are only
-  counted, and just the few values inside them are sorted. Exact.
+  counted, and just the few values inside them are summed up in buckets. Exact.
 * ``hash_cuts``: seeded hashes are uniform, so their leading bits are balanced buckets.
 """
 
@@ -19,6 +19,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.session import materialized
+
 _BLOCK = 16
 SLOTS = _BLOCK * _BLOCK  # bounds the splitters broadcast per key, and how finely a key is cut
 ACCURACY = 10_000  # of the sketch behind quantiles
@@ -121,12 +123,13 @@ def quantiles(
     keys: Sequence[str] = ("colonne",),
     value: str = "valeur",
     accuracy: int = ACCURACY,
+    few: bool = True,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: (keys, quantiles array, in the order asked).
 
     Equal to ``percentile`` without holding every distinct value of a column in one aggregation
     state. The sketch only says where to look; were it ever to miss, the query fails rather than
-    answer wrongly.
+    answer wrongly. Say ``few=False`` when keys are not few: nothing is broadcast then.
     """
     probs = [float(p) for p in probabilities]
     lines = rows.select(*keys, value, F.lit(1).alias("_w"))
@@ -165,6 +168,7 @@ def quantiles(
         *keys,
         *[mark(p, -1).alias(c) for p, c in zip(wanted, lows)],
         *[mark(p, 1).alias(c) for p, c in zip(wanted, highs)],
+        "_rows",
     )
     v = F.col(value)
     inside = reduce(lambda a, b: a | b, [v.between(F.col(a), F.col(b)) for a, b in zip(lows, highs)])
@@ -172,16 +176,21 @@ def quantiles(
     gap = F.lit(None)
     for high in highs:
         gap = F.when(v > F.col(high), F.col(high)).otherwise(gap)
-    counted = (
-        attach(lines, brackets, keys, [*lows, *highs])
-        .select(*keys, "_w", inside.alias("_exact"), F.when(inside, v).otherwise(gap).alias("_v"))
-        .groupBy(*keys, "_v", "_exact")
-        .agg(F.sum("_w").alias("_w"))
+    # Values inside a bracket are a small share of the rows but still grow with them: they are written once
+    # and summed up in buckets, so no task holds all of a key.
+    counted = materialized(
+        attach(lines, brackets, keys, [*lows, *highs, "_rows"], few)
+        .select(*keys, "_w", "_rows", inside.alias("_exact"), F.when(inside, v).otherwise(gap).alias("_v"))
+        .groupBy(*keys, F.struct("_v", (~F.col("_exact")).alias("_after")).alias("_place"))
+        .agg(F.sum("_w").alias("_w"), F.max("_rows").alias("_rows"))
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first(), F.col("_exact").desc())
-    whole = Window.partitionBy(*keys)
-    ranked = counted.withColumn("_upto", F.sum("_w").over(order)).withColumn(
-        "_last", F.sum("_w").over(whole) - 1
+    ranked = running_totals(counted, keys, "_place", ["_w"], few).select(
+        *keys,
+        "_w",
+        F.col("_place._v").alias("_v"),
+        (~F.col("_place._after")).alias("_exact"),
+        (F.col("avant__w") + F.col("_w")).alias("_upto"),
+        (F.col("_rows") - 1).alias("_last"),
     )
 
     def at(position: Column) -> Column:

@@ -67,12 +67,12 @@ def _(spark, folder):
 
 @register(
     "roc_curve",
-    _SQL_STEPS + f" SELECT {R('score')} AS seuil, {R('fp / n_neg')} AS fpr, {R('tp / n_pos')} AS tpr FROM s",
+    _SQL_STEPS + f" SELECT {R('score')} AS seuil, {R('fp / n_neg')} AS fpr, {R('tp / n_pos')} AS tpr FROM s UNION ALL SELECT NULL, 0.0, 0.0",
 )
 def _(spark, folder):
-    # The origin carries an infinite threshold, which SQL comparison leaves out.
+    # The infinite threshold of the origin is shown as NULL: comparisons of files have no infinity.
     curve = metrics.roc_curve(scored(spark, folder), "y", "p")
-    return curve.where(F.col("seuil") < float("inf"))
+    return curve.withColumn("seuil", F.when(F.col("seuil") < float("inf"), F.col("seuil")))
 
 
 @register(
@@ -395,10 +395,13 @@ def _(spark, folder):
 
 @register(
     "schema_report",
-    "SELECT * FROM (VALUES ('rendus', 'absente'), ('total', 'absente'), ('avis', 'absente'), ('o_orderstatus', 'inconnue'), ('o_orderdate', 'inconnue')) t(colonne, statut)",
+    "SELECT colonne, 'absente' AS statut, CAST(NULL AS BIGINT) AS n_remplies FROM (VALUES ('rendus'), ('total'), ('avis')) t(colonne) "
+    "UNION ALL SELECT 'o_orderstatus', 'inconnue', count(o_orderstatus) FROM orders UNION ALL SELECT 'o_orderdate', 'inconnue', count(o_orderdate) FROM orders",
 )
 def _(spark, folder):
-    return C.schema_report(table(spark, folder, "orders"), CONTRACT)
+    orders = table(spark, folder, "orders")
+    counts = orders.agg(*[F.count(c).alias(c) for c in orders.columns]).unpivot([], orders.columns, "colonne", "n_remplies")
+    return C.schema_report(orders, CONTRACT).join(counts, "colonne", "left")
 
 
 @register(
@@ -470,15 +473,15 @@ def _(spark, folder):
 
 @register(
     "export_campaign",
-    _SQL_JUDGED + " SELECT CAST(o_orderkey AS VARCHAR) AS reference, CASE WHEN motifs = '' THEN 'score' ELSE 'refuse' END AS statut, "
-    "CASE WHEN motifs = '' THEN CASE WHEN CAST(o_custkey AS DOUBLE) / 1500 >= 0.6 THEN 'oui' ELSE 'non' END END AS signale, nullif(motifs, '') AS motifs FROM judged",
+    _SQL_SCORES + " SELECT CAST(o_orderkey AS VARCHAR) AS reference, CASE WHEN motifs = '' THEN 'score' ELSE 'refuse' END AS statut, "
+    "replace(printf('%.4f', round_even(s.p, 4) + 0.0), '.', ',') AS probability, replace(printf('%.2f', round_even(s.note, 2) + 0.0), '.', ',') AS moyenne_finale, "
+    "CASE WHEN motifs = '' THEN CASE WHEN CAST(o_custkey AS DOUBLE) / 1500 >= 0.6 THEN 'oui' ELSE 'non' END END AS signale, nullif(motifs, '') AS motifs FROM judged LEFT JOIN s ON s.reference = CAST(o_orderkey AS VARCHAR)",
 )
 def _(spark, folder):
     path = scratch(spark)
     done, bad, _summary = _cohort(spark, folder)
     layers.export_campaign(scoring.scored_union_refused(done, bad), path)
-    back = files.read_text_table(spark, path, ";")
-    return back.select("reference", "statut", "signale", "motifs")
+    return files.read_text_table(spark, path, ";")
 
 
 # A linear model written out: source variable → (coefficient, SQL of the encoded column).
@@ -632,6 +635,9 @@ def _(spark, folder):
     )
 
 
+_FOLDS = 5
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with folds: the small table models are checked on."""
     joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
@@ -643,7 +649,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
         "quality",
         "toxic",
     )
-    return materialized(protocol.assign_folds(rows, ["doc_id"], 3, 1, "quality"))
+    return materialized(protocol.assign_folds(rows, ["doc_id"], _FOLDS, 1, "quality"))
 
 
 _ROLES = {"numeric": ("n_chars", "espaces"), "nominal": {"lang": ["de", "en", "es", "fr"]}}
@@ -694,27 +700,43 @@ def _(spark, folder):
     return metrics.regression_metrics(both, "l_extendedprice", "p", ["famille"])
 
 
-@register("out_of_fold", "SELECT count(*) AS n FROM documents JOIN labels USING (doc_id)")
+@register(
+    "out_of_fold",
+    "WITH c AS (SELECT quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY quality), "
+    f"f AS (SELECT unnest(range({_FOLDS})) AS fold) "
+    f"SELECT CAST(fold AS INTEGER) AS fold, CAST(sum(n * (fold + 1) // {_FOLDS} - n * fold // {_FOLDS}) AS BIGINT) AS n, "
+    f"CAST(sum(n * (fold + 1) // {_FOLDS} - n * fold // {_FOLDS}) AS BIGINT) AS n_documents, "
+    f"CAST(sum(n * (fold + 1) // {_FOLDS} - n * fold // {_FOLDS}) AS BIGINT) AS n_dans_bornes, TRUE AS mieux_que_hasard FROM c, f GROUP BY fold",
+)
 def _(spark, folder):
-    scores = modeling.out_of_fold(_documents(spark, folder), _logreg(), "quality", 3)
-    return scores.where(F.col("p").between(0, 1)).agg(F.count_distinct("doc_id").alias("n"))
+    scores = modeling.out_of_fold(_documents(spark, folder), _logreg(), "quality", _FOLDS)
+    better = metrics.classification_metrics(scores, "quality", "p", ["fold"]).select("fold", (F.col("roc_auc") > 0.5).alias("mieux_que_hasard"))
+    return (
+        scores.groupBy("fold")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct("doc_id").alias("n_documents"),
+            F.count_if(F.col("p").between(0, 1)).alias("n_dans_bornes"),
+        )
+        .join(better, "fold")
+    )
 
 
 @register("fold_scores")
 def _(spark, folder):
-    scores = modeling.out_of_fold(_documents(spark, folder), _logreg(), "quality", 3)
+    scores = modeling.out_of_fold(_documents(spark, folder), _logreg(), "quality", _FOLDS)
     return modeling.fold_scores(scores, "quality")
 
 
 @register("train_vs_oof")
 def _(spark, folder):
-    return modeling.train_vs_oof(_documents(spark, folder), _logreg(), "quality", 3)
+    return modeling.train_vs_oof(_documents(spark, folder), _logreg(), "quality", _FOLDS)
 
 
 @register("ablate")
 def _(spark, folder):
-    blocks = {"langue": ["lang"]}
-    return modeling.ablate(_documents(spark, folder), _logreg(), "quality", blocks, 3)
+    blocks = {"langue": ["lang"], "longueur": ["n_chars"], "espaces": ["espaces"]}
+    return modeling.ablate(_documents(spark, folder), _logreg(), "quality", blocks, _FOLDS)
 
 
 @register("grid_search")
@@ -722,9 +744,9 @@ def _(spark, folder):
     return modeling.search(
         _documents(spark, folder),
         lambda params: _logreg(params["C"]),
-        modeling.grid({"C": [0.01, 1.0]}),
+        modeling.grid({"C": [0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0]}),
         "quality",
-        n_splits=3,
+        n_splits=_FOLDS,
     )
 
 
@@ -749,12 +771,12 @@ def _(spark, folder):
 
 @register("class_weighting_metrics")
 def _(spark, folder):
-    return modeling.compare_weighting(_documents(spark, folder), _logreg(), "quality", 3)
+    return modeling.compare_weighting(_documents(spark, folder), _logreg(), "quality", _FOLDS)
 
 
 @register("isotonic_recalibration")
 def _(spark, folder):
-    return modeling.isotonic_recalibration(_documents(spark, folder), _logreg(), "quality", 3, 2)
+    return modeling.isotonic_recalibration(_documents(spark, folder), _logreg(), "quality", _FOLDS, 5)
 
 
 _SQL_PANEL = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestat import functions as L
@@ -74,36 +75,45 @@ def _(spark, folder):
 
 @register(
     "sniff_files",
-    "SELECT 'utf-8' AS encoding, FALSE AS has_bom, ';' AS delimiter, 1 AS au_moins_un",
+    "WITH l AS (SELECT o_orderpriority AS p, strlen(concat(o_orderkey, ';\"', o_custkey, ',é,', o_orderstatus, '\"')) + 1 AS k FROM orders) "
+    "SELECT CASE p WHEN '1-URGENT' THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, p = '1-URGENT' AS has_bom, ';' AS delimiter, "
+    "CAST(sum(k) + CASE p WHEN '1-URGENT' THEN 3 ELSE 0 END AS BIGINT) AS size, p AS fichier FROM l GROUP BY p",
 )
 def _(spark, folder):
-    path = _written(spark, folder, ["ident", "distance", "jour", "filiere"])
-    found = files.sniff_files(spark, f"{path}/*.csv")
-    return found.groupBy("encoding", "has_bom", "delimiter").agg(
-        F.least(F.count(F.lit(1)), F.lit(1)).cast("int").alias("au_moins_un")
+    path = scratch(spark)
+    line = F.concat("o_orderkey", F.lit(';"'), "o_custkey", F.lit(",é,"), "o_orderstatus", F.lit('"'))
+    rows = table(spark, folder, "orders").select("o_orderpriority", "o_orderkey", line.alias("value"))
+    first = F.col("o_orderkey") == F.min("o_orderkey").over(Window.partitionBy("o_orderpriority"))
+    marked = F.when(first & (F.col("o_orderpriority") == "1-URGENT"), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
+    rows.select("o_orderpriority", F.col("o_orderkey").alias("k"), marked.alias("value")).repartition(
+        5, "o_orderpriority"
+    ).sortWithinPartitions("o_orderpriority", "k").select("o_orderpriority", "value").write.partitionBy(
+        "o_orderpriority"
+    ).text(path)
+    found = files.sniff_files(spark, f"{path}/*/*.txt")
+    return found.select(
+        "encoding", "has_bom", "delimiter", "size", F.url_decode(F.regexp_extract("path", "o_orderpriority=([^/]+)/", 1)).alias("fichier")
     )
 
 
 @register(
     "file_facts",
-    "WITH r AS (SELECT l_suppkey, l_linenumber, l_quantity, count(*) AS k FROM lineitem GROUP BY ALL) "
-    "SELECT CAST(sum(k) AS BIGINT) AS n_lignes, 3 AS n_colonnes, CAST(sum(k) - count(*) AS BIGINT) AS n_lignes_en_double FROM r",
+    "WITH r AS (SELECT lineitem.*, count(*) AS k FROM lineitem GROUP BY ALL) "
+    "SELECT CAST(sum(k) AS BIGINT) AS n_lignes, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS n_colonnes, CAST(sum(k) - count(*) AS BIGINT) AS n_lignes_en_double FROM r",
 )
 def _(spark, folder):
-    return files.table_facts(
-        table(spark, folder, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity")
-    )
+    return files.table_facts(table(spark, folder, "lineitem"))
 
 
 @register(
     "inferred_types",
-    "SELECT * FROM (VALUES ('o_orderkey','int'), ('o_totalprice','double'), ('o_orderstatus','string')) t(colonne, type_reel)",
+    "SELECT colonne, CASE WHEN colonne IN ('o_orderkey', 'o_custkey') AND (SELECT max(greatest(o_orderkey, o_custkey)) FROM orders) < 2147483648 THEN 'int' "
+    "WHEN colonne = 'o_totalprice' THEN 'double' WHEN colonne = 'o_orderdate' THEN 'timestamp' ELSE 'string' END AS type_reel "
+    "FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS colonne)",
 )
 def _(spark, folder):
     path = scratch(spark)
-    table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").write.csv(
-        path, header=True
-    )
+    table(spark, folder, "orders").write.csv(path, header=True)
     return files.inferred_types(spark, path)
 
 
@@ -130,9 +140,31 @@ def _(spark, folder):
     )
 
 
-@register("table_fingerprint")
+@register(
+    "table_fingerprint",
+    "SELECT count(*) AS n_lignes, TRUE AS sans_ordre, FALSE AS sans_une_ligne, FALSE AS valeur_changee, 12 AS longueur FROM orders",
+)
 def _(spark, folder):
-    return prepare.table_fingerprint(table(spark, folder, "orders"))
+    """The fingerprint of all orders against that of reordered, shortened and altered ones."""
+    orders = table(spark, folder, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    variants = {
+        "a": orders,
+        "sans_ordre": orders.repartition(7, "o_custkey").sortWithinPartitions(F.desc("o_totalprice")),
+        "sans_une_ligne": orders.where(F.col("o_orderkey") != last),
+        "valeur_changee": orders.withColumn(
+            "o_totalprice", F.when(F.col("o_orderkey") == last, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+        ),
+    }
+    parts = [prepare.table_fingerprint(df).withColumn("version", F.lit(name)) for name, df in variants.items()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    pick = lambda name, c: F.max(F.when(F.col("version") == name, F.col(c)))
+    own = pick("a", "empreinte")
+    return every.agg(
+        pick("a", "n_lignes").alias("n_lignes"),
+        *[(pick(name, "empreinte") == own).alias(name) for name in list(variants)[1:]],
+        F.length(own).cast("int").alias("longueur"),
+    )
 
 
 @register(
@@ -396,8 +428,8 @@ _SQL_RUNS = (
 _SQL_PATTERNS = (
     SQL_FREQ + ", runs AS (SELECT colonne, valeur, n, regexp_extract_all(valeur, '[0-9]+|[A-Za-zÀ-ÿ]+| +|\\.+|,+|-+|/+|[^0-9A-Za-zÀ-ÿ .,/-]+') AS rs FROM filled), "
     f"shaped AS (SELECT colonne, valeur, n, {_SQL_RUNS} AS whole FROM runs), "
-    "motifs AS (SELECT colonne, valeur, n, CASE WHEN length(whole) <= 48 THEN whole ELSE left(whole, 48) || '…' END AS motif FROM shaped), "
-    "counted AS (SELECT colonne, motif, CAST(sum(n) AS BIGINT) AS n, min(valeur) AS exemple FROM motifs GROUP BY ALL)"
+    "motifs AS (SELECT colonne, valeur, n, whole, CASE WHEN length(whole) <= 48 THEN whole ELSE left(whole, 48) || '…' END AS motif FROM shaped), "
+    "counted AS (SELECT colonne, whole, motif, CAST(sum(n) AS BIGINT) AS n, min(valeur) AS exemple FROM motifs GROUP BY ALL)"
 )
 
 
@@ -410,7 +442,7 @@ def _(spark, folder):
 
 
 _SQL_DOMINANT = (
-    "dominant AS (SELECT colonne, arg_min(motif, (-n, motif)) AS motif_dominant, "
+    "dominant AS (SELECT colonne, arg_min(motif, (-n, whole)) AS motif_dominant, "
     "100.0 * max(n) / sum(n) AS couv, count(*) AS n_motifs FROM counted GROUP BY colonne)"
 )
 
@@ -426,8 +458,8 @@ def _(spark, folder):
 
 @register(
     "pattern_breakdown",
-    _SQL_PATTERNS + f" SELECT c.colonne, motif, n, {R('100.0 * n / sum(n) OVER (PARTITION BY c.colonne)')} AS \"part_%\", exemple FROM counted c "
-    "JOIN (SELECT colonne FROM counted GROUP BY colonne HAVING count(*) <= 12) USING (colonne)",
+    _SQL_PATTERNS + f" SELECT c.colonne, motif, n, {R('100.0 * n / sum(n) OVER (PARTITION BY c.colonne)')} AS \"part_%\", "
+    "count(*) OVER (PARTITION BY c.colonne) AS n_motifs, exemple FROM counted c",
 )
 def _(spark, folder):
     return profiling.pattern_breakdown(messy(spark, folder), MESSY_COLUMNS)
@@ -465,13 +497,13 @@ def _(spark, folder):
 
 @register(
     "modality_breakdown",
-    SQL_FREQ + f" SELECT colonne, cle AS modalite, CAST(sum(n) AS BIGINT) AS n, {R('100.0 * sum(n) / any_value(t)')} AS \"part_%\", "
-    "string_agg(valeur, '|' ORDER BY valeur) AS ecritures FROM keyed JOIN (SELECT colonne, sum(n) AS t FROM keyed "
-    "GROUP BY colonne HAVING count(DISTINCT cle) <= 20) USING (colonne) GROUP BY colonne, cle",
+    SQL_FREQ + ", m AS (SELECT colonne, cle, CAST(sum(n) AS BIGINT) AS n FROM keyed GROUP BY colonne, cle), "
+    f"s AS (SELECT colonne, cle, n, {R('100.0 * n / sum(n) OVER (PARTITION BY colonne)')} AS part, count(*) OVER (PARTITION BY colonne) AS k FROM m) "
+    "SELECT colonne, cle AS modalite, s.n, part AS \"part_%\", k AS n_modalites, valeur AS ecriture, keyed.n AS n_ecriture "
+    "FROM keyed JOIN s USING (colonne, cle)",
 )
 def _(spark, folder):
-    found = profiling.modality_breakdown(messy(spark, folder), MESSY_COLUMNS)
-    return found.withColumn("ecritures", F.array_join("ecritures", "|"))
+    return profiling.modality_breakdown(messy(spark, folder), MESSY_COLUMNS)
 
 
 @register(
@@ -516,9 +548,9 @@ def _(spark, folder):
     )
 
 
-@register("dedup_exact", "SELECT DISTINCT text, lang FROM documents")
+@register("dedup_exact", "SELECT DISTINCT * EXCLUDE (doc_id) FROM documents")
 def _(spark, folder):
-    return prepare.dedup_exact(table(spark, folder, "documents").select("text", "lang"))
+    return prepare.dedup_exact(table(spark, folder, "documents").drop("doc_id"))
 
 
 @register(

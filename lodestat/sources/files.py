@@ -7,7 +7,7 @@ import csv
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestat.session import ship_by_value
@@ -26,7 +26,6 @@ TRIED_ENCODINGS = ("utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 SNIFFED_CHARACTERS = 8192
 _UNDEFINED_IN_CP1252 = "^(?:..)*(?:81|8D|8F|90|9D)"
-_WHOLE_FILE_LIMIT = 64 * 1024 * 1024
 _FACTS = "path string, encoding string, has_bom boolean, delimiter string, size long"
 # Charset names of the JVM for the encodings above.
 _JVM_CHARSETS = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
@@ -55,58 +54,77 @@ def delimiter_of(sample: str) -> str:
         return max(DELIMITERS, key=(lines[0] if lines else "").count)
 
 
-def _sniff_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for files in batches:
-        rows = []
-        for path, size, content in zip(files["path"], files["length"], files["content"]):
-            name, marked = encoding_of(content)
-            sample = content.decode(name, errors="replace")[:SNIFFED_CHARACTERS]
-            rows.append((path, name, marked, delimiter_of(sample), size))
-        yield pd.DataFrame(rows, columns=["path", "encoding", "has_bom", "delimiter", "size"])
-
-
-def _sniff_large(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """Files too large for one record: their lines are tested in parallel, split by split."""
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_size").alias("size"),
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, line, value): the lines of files as bytes, cut at line feeds only, split by split."""
+    return spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
-    ).where(F.col("size") > limit)
-    bad = ~F.is_valid_utf8("value")
-    undefined = F.hex(F.col("value").cast("binary")).rlike(_UNDEFINED_IN_CP1252)
-    # The text reader drops the mark of UTF-8, which changes nothing to the reading; the marks of
-    # the wider encodings remain at the head of the first line.
-    facts = lines.groupBy("path", "size").agg(
-        F.bool_or(bad).alias("bad"),
-        F.bool_or(undefined).alias("undefined"),
-        F.min_by("value", F.struct("start", "line")).alias("header"),
-    )
-    counts = [(F.length("header") - F.length(F.translate("header", d, "")), d) for d in DELIMITERS]
-    best, choice = F.lit(-1), F.lit(DELIMITERS[0])
-    for count, d in counts:
-        choice = F.when(count > best, F.lit(d)).otherwise(choice)
-        best = F.greatest(count, best)
-    head = F.hex(F.col("header").cast("binary"))
-    wide = F.lit(None).cast("string")
-    for mark, name in reversed(BYTE_ORDER_MARKS[1:]):
-        wide = F.when(head.startswith(mark.hex().upper()), name).otherwise(wide)
-    narrow = F.when(~F.col("bad"), "utf-8").when(~F.col("undefined"), "cp1252").otherwise("latin-1")
-    return facts.select(
-        "path",
-        F.coalesce(wide, narrow).alias("encoding"),
-        wide.isNotNull().alias("has_bom"),
-        choice.alias("delimiter"),
-        "size",
+        F.col("value").cast("binary").alias("value"),
     )
 
 
-def sniff_files(spark: SparkSession, path: str, limit: int = _WHOLE_FILE_LIMIT) -> DataFrame:
-    """(path, encoding, has_bom, delimiter, size), one row per file of a folder or pattern."""
-    files = spark.read.format("binaryFile").load(path)
-    small = files.where(F.col("length") <= limit).select("path", "length", "content")
-    return small.mapInPandas(_sniff_small, _FACTS).unionByName(_sniff_large(spark, path, limit))
+def _heads(lines: DataFrame, characters: int) -> DataFrame:
+    """(file, head): the first bytes of each file, enough for so many characters.
+
+    A line gives one character at least, so that many lines are enough; each task keeps no more of a file.
+    """
+    order = Window.partitionBy("file").orderBy("line")
+    first = (
+        lines.where("start = 0")
+        .withColumn("value", F.expr(f"substring(value, 1, {4 * characters})"))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= characters)
+    )
+    listed = F.array_sort(F.collect_list(F.struct("place", "value")))
+    return first.groupBy("file").agg(F.transform(listed, lambda x: x["value"]).alias("head"))
+
+
+def _describe(characters: int):
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            rows = []
+            for path, size, lines, written, broken, undefined in zip(
+                files["path"], files["length"], files["head"], files["written"], files["broken"], files["undefined"]
+            ):
+                head = b"\n".join(bytes(x) for x in lines) if lines is not None else b""
+                # The text reader takes away the mark of UTF-8: a file then has three bytes more
+                # than its lines and line feeds.
+                marked = size - written >= 2
+                name = next((n for mark, n in BYTE_ORDER_MARKS[1:] if head.startswith(mark)), None)
+                if name is None:
+                    name = "utf-8-sig" if marked else "utf-8" if not broken else "cp1252" if not undefined else "latin-1"
+                sample = head.decode(name, errors="replace")[:characters]
+                rows.append((path, name, name not in TRIED_ENCODINGS, delimiter_of(sample), size))
+            yield pd.DataFrame(rows, columns=["path", "encoding", "has_bom", "delimiter", "size"])
+
+    return describe
+
+
+def sniff_files(spark: SparkSession, path: str, characters: int = SNIFFED_CHARACTERS) -> DataFrame:
+    """(path, encoding, has_bom, delimiter, size), one row per file of a folder or pattern.
+
+    One rule whatever the size: the encoding is that of the whole file, whose lines are tested split by split;
+    the delimiter is read off the first ``characters``. Only the head of a file comes to one task.
+    """
+    listed = spark.read.format("binaryFile").load(path).select(
+        "path", "length", F.col("_metadata.file_path").alias("file")
+    )
+    lines = _lines(spark, path)
+    facts = lines.groupBy("file").agg(
+        (F.sum(F.octet_length("value")) + F.count(F.lit(1))).alias("written"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("broken"),
+        F.bool_or(F.hex("value").rlike(_UNDEFINED_IN_CP1252)).alias("undefined"),
+    )
+    whole = listed.join(facts, "file", "left").join(_heads(lines, characters), "file", "left")
+    return whole.select(
+        "path",
+        "length",
+        "head",
+        F.coalesce("written", F.lit(0)).alias("written"),
+        F.coalesce("broken", F.lit(False)).alias("broken"),
+        F.coalesce("undefined", F.lit(False)).alias("undefined"),
+    ).mapInPandas(_describe(characters), _FACTS)
 
 
 def read_text_table(

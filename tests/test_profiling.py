@@ -47,16 +47,24 @@ def test_date_formats_most_useful_first(spark):
     assert [r["format"] for r in found] == ["%Y-%m-%d", "%d/%m/%Y", "%d %b %Y"]
 
 
-def test_breakdowns_refuse_long_lists(spark):
-    many = column(spark, [f"m{i}" for i in range(30)])
-    assert profiling.modality_breakdown(many).count() == 0
-    few = profiling.modality_breakdown(column(spark, ["Oui", "oui", "Non"])).collect()
-    assert [(r["modalite"], r["n"], r["ecritures"]) for r in few] == [
-        ("oui", 2, ["Oui", "oui"]),
-        ("non", 1, ["Non"]),
+def test_breakdowns_list_every_column(spark):
+    many = column(spark, [f"m{i}" + "-" * i for i in range(30)])
+    assert profiling.modality_breakdown(many).where("n_modalites = 30").count() == 30
+    assert profiling.pattern_breakdown(many).where("n_motifs = 30").count() == 30
+    few = profiling.modality_breakdown(column(spark, ["Oui", "oui", "Oui", "Non"])).collect()
+    assert sorted((r["modalite"], r["n"], r["ecriture"], r["n_ecriture"]) for r in few) == [
+        ("non", 1, "Non", 1),
+        ("oui", 3, "Oui", 2),
+        ("oui", 3, "oui", 1),
     ]
 
 
+def test_patterns_are_counted_whole(spark):
+    ends = column(spark, ["a1" * 60 + "x", "a1" * 60 + "-", "a1" * 60 + "-"])
+    shapes = profiling.pattern_breakdown(ends).collect()
+    assert sorted(s["n"] for s in shapes) == [1, 2] and len({s["motif"] for s in shapes}) == 1
+
+
 def test_twins_appear_only_once_unified(spark):
     raw = spark.createDataFrame(
         [("Gen", "1,0"), ("general", "1.0"), ("GENERAL ", "2")], "bac string, v string"

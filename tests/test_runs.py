@@ -1,5 +1,6 @@
 """Contract, models, sources, streams, and whole runs on a small hand-typed cohort."""
 
+import codecs
 import random
 
 import numpy as np
@@ -160,8 +161,24 @@ def test_files(spark, tmp_path):
     (folder / "c.csv").write_bytes("id|nom|v\n4|Ana|8\n".encode("utf-16"))
     found = {r["path"][-5:]: (r["encoding"], r["has_bom"], r["delimiter"]) for r in files.sniff_files(spark, str(folder)).collect()}
     assert found == {"a.csv": ("cp1252", False, ";"), "b.csv": ("utf-8-sig", True, ","), "c.csv": ("utf-16", True, "|")}
-    split = {r["path"][-5:]: (r["encoding"], r["delimiter"]) for r in files.sniff_files(spark, str(folder), limit=1).collect()}
-    assert split == {"a.csv": ("cp1252", ";"), "b.csv": ("utf-8", ","), "c.csv": ("utf-16", "|")}
+    (folder / "d.csv").write_bytes(codecs.BOM_UTF8 + "id;a,b,c\n1;x,y,z\r\n2;x,y,z".encode() * 3)
+    (folder / "e.csv").write_bytes(b"")
+    (folder / "f.csv").write_bytes(codecs.BOM_UTF8)
+    (folder / "g.csv").write_bytes(b"a\tb\n\x81\t\xe9\n" * 4000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for characters in (8192, 4096):
+            found = {r["path"][-5:]: (r["encoding"], r["has_bom"], r["delimiter"], r["size"]) for r in files.sniff_files(spark, str(folder), characters).collect()}
+            for name, got in found.items():
+                payload = (folder / name).read_bytes()
+                encoding, marked = files.encoding_of(payload)
+                sample = payload.decode(encoding)[:characters]
+                assert got == (encoding, marked, files.delimiter_of(sample), len(payload)), name
+            assert len(found) == 7 and found["d.csv"][2] == ";"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in "defg":
+        (folder / f"{name}.csv").unlink()
     rows = files.read_folder(spark, str(folder))
     assert {r["nom"] for r in rows.collect()} == {"Élise", None, "Zoé", "Ana"}
     assert rows.where("v = 'NA'").count() == 2

@@ -170,3 +170,38 @@ def test_deidentified_keeps_marginals_and_breaks_rows(spark):
     assert (out["b"] == 3 * out["a"]).mean() < 0.1
     again = drift.deidentified_reference(df.repartition(5), ["a", "b"], "k", 1).toPandas()
     assert set(map(tuple, out.values)) == set(map(tuple, again.values))
+
+
+def test_ratio_of_uniforms_has_the_hypergeometric_law():
+    rng = np.random.default_rng(3)
+    n = 200_000
+    for good, bad, drawn in [(30, 50, 20), (400, 300, 650), (5, 9_000, 4_000), (2_000, 1_500, 1_200)]:
+        mine = noise._ratio_of_uniforms(rng, np.full(n, good), np.full(n, bad), np.full(n, drawn))
+        theirs = rng.hypergeometric(good, bad, drawn, n)
+        assert mine.min() >= max(0, drawn - bad) and mine.max() <= min(good, drawn)
+        low = int(min(mine.min(), theirs.min()))
+        a, b = (np.bincount(v - low, minlength=int(max(mine.max(), theirs.max())) - low + 1) for v in (mine, theirs))
+        seen = a + b > 20
+        z = (a[seen] - b[seen]) / np.sqrt(a[seen] + b[seen])
+        assert (z**2).sum() < 2 * seen.sum() + 12
+    huge = noise._ratio_of_uniforms(rng, np.full(5_000, 3 * 10**11), np.full(5_000, 10**11), np.full(5_000, 4 * 10**9))
+    spread = np.sqrt(4e9 * 0.75 * 0.25 * (4e11 - 4e9) / 4e11)
+    assert abs(huge.mean() - 3e9) < 5 * spread / np.sqrt(5_000) and 0.95 < huge.std() / spread < 1.05
+
+
+def test_tree_of_shares_keeps_both_margins():
+    groups, sizes = np.array([7, 30, 13]), np.array([5, 20, 0, 11, 14])
+    parts = [noise._share([1, 2], groups, sizes, k, 40) for k in range(5)]
+    assert all((part.sum(axis=1) == size).all() for part, size in zip(parts, sizes))
+    assert (sum(parts) == groups).all()
+
+
+def test_halved_buckets_keep_the_law(monkeypatch):
+    counts, groups = np.array([40, 25, 20, 10, 5]), np.array([60, 30, 10])
+    means = []
+    for most in (10**6, 30, 0):
+        monkeypatch.setattr(noise, "ROWS_AT_ONCE", most)
+        sums = noise._Sums("v", counts, np.zeros(5), groups, 4_000)
+        noise._draw_bucket(np.random.default_rng(5), sums, np.tile(groups, (4_000, 1)))
+        means.append(sums.q.mean() - 1)
+    assert all(abs(m - 8 / 99) < 0.003 for m in means)
