@@ -9,10 +9,13 @@ import json
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from lodestat.operators import association, drift, explore, metrics, noise, prepare, profiling, scoring
 from lodestat.plans.catalog_models import _THEMES, _terms
 from lodestat.plans.registry import holes, scored, sides, table
 from lodestat.session import new_session
+from lodestat.streaming import alerts
 
 
 def headline(spark, folder):
@@ -42,6 +45,16 @@ def headline(spark, folder):
         "assess_drift": lambda: drift.assess_drift(
             *sides(spark, folder), ["o_totalprice", "o_custkey"], ["o_orderpriority", "o_orderstatus"]
         ),
+        "correlation_ratio_noise_500": lambda: noise.correlation_ratio_noise(
+            holes(spark, folder), "p", "g"
+        ),
+        "fairness_audit": lambda: metrics.fairness_audit(
+            scored(spark, folder), "y", "p", 0.5, ["o_orderpriority"]
+        ),
+        "dedup_documents": lambda: prepare.dedup_exact(documents.drop("doc_id")),
+        "error_rate_window": lambda: alerts.error_rate_window(
+            table(spark, folder, "events"), "ts", F.col("event_type") == "error", 0.1
+        ),
         "score_and_top6": lambda: scoring.top_contributions(items, _terms(), -0.2, _THEMES),
     }
 

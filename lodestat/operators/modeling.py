@@ -31,6 +31,7 @@ from lodestat.operators.ranks import quantiles
 from lodestat.session import materialized
 
 MISSING_CATEGORY = "inconnu"  # fixed value
+MAX_NEW_CATEGORIES = 10_000
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
 
@@ -39,7 +40,8 @@ def resolve_categories(
 ) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
     """(categories per column, undeclared ones seen). Declared ones keep their position.
 
-    One pass for all columns; only categories that nobody declared reach the driver.
+    One pass for all columns; only categories that nobody declared reach the driver. Each would be a feature of
+    its own, so more than ``MAX_NEW_CATEGORIES`` of them are refused with an error: such a column is no category.
     """
     columns = list(declared)
     if not columns:
@@ -53,8 +55,11 @@ def resolve_categories(
         wide.unpivot([], columns, "colonne", "valeur")
         .where(F.col("valeur").isNotNull() & ~known)
         .distinct()
+        .limit(MAX_NEW_CATEGORIES + 1)
         .collect()
     )
+    if len(seen) > MAX_NEW_CATEGORIES:
+        raise ValueError(f"more than {MAX_NEW_CATEGORIES} undeclared categories, e.g. of {seen[0]['colonne']}")
     extras: dict[str, list[str]] = {}
     for row in sorted(seen, key=lambda r: (r["colonne"], r["valeur"])):
         extras.setdefault(row["colonne"], []).append(row["valeur"])
