@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestat.functions.dates import parse_date
 from lodestat.functions.numbers import parse_number, safe_ratio
 from lodestat.functions.text import blank_to_null, normalize_text, recode_value
-from lodestat.operators.frequencies import COLUMN, value_frequencies
+from lodestat.operators.frequencies import COLUMN, COUNT, long_text
 from lodestat.operators.profiling import date_formats, detect_units, read_by_formats
 
 Vocabulary = Mapping[str, Mapping[str, Sequence[str]]]
@@ -62,12 +62,14 @@ def conform(
     found, cuts = [c for c in numeric if c not in units], [c for c in dated if c not in formats]
     with_facts = df
     if found:
-        per_column = detect_units(value_frequencies(df, found)).groupBy(COLUMN).agg(
+        # Straight from the rows: only units, not values, are shuffled.
+        per_column = detect_units(long_text(df, found)).groupBy(COLUMN).agg(
             F.sort_array(F.collect_list("unite")).alias("unites")
         )
         with_facts = with_facts.withColumn("_unites", _as_map(per_column, "unites"))
     if cuts:
-        per_column = date_formats(value_frequencies(df, cuts)).select(COLUMN, "choisis")
+        rows = long_text(df, cuts).withColumn(COUNT, F.lit(1).cast("bigint"))
+        per_column = date_formats(rows).select(COLUMN, "choisis")
         with_facts = with_facts.withColumn("_formats", _as_map(per_column, "choisis"))
 
     def typed(name: str) -> Column:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from lodestat.functions.numbers import clip, decimal_comma, sigmoid
 from lodestat.operators.contract import ERRORS, Contract, accepted, reference_of, validate_rows
+from lodestat.operators.metrics import capacity_threshold
+from lodestat.session import materialized
 
 # Fixed values.
 MARK_RANGE = (0.0, 20.0)
 UNGROUPED = "autres"
 TOP_VARIABLES = 6
+CAPACITY_ORIGIN = "capacite"
 
 
 def resolve_threshold(
@@ -74,12 +77,21 @@ def score_batch(
 
 
 def score_cohort(
-    df: DataFrame, contract: Contract, score, **options
+    df: DataFrame, contract: Contract, score, capacity: int | None = None, **options
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scored, refused, summary) of a batch; ``score(accepted)`` adds ``_p`` and ``_note``."""
+    """(scored, refused, summary) of a batch; ``score(accepted)`` adds ``_p`` and ``_note``.
+
+    With a ``capacity``, the threshold is the one that flags so many rows of this batch at most; the scores are
+    then written first, so that no model runs twice.
+    """
     judged = validate_rows(df, contract)
     valid = accepted(judged)
     rated = score(valid)
+    if capacity is not None:
+        check_policy(options.get("threshold"), capacity, True)
+        rated = materialized(rated)
+        cut = capacity_threshold(rated, "_p", capacity).scalar()
+        options = {**options, "threshold": cut, "origin": CAPACITY_ORIGIN}
     scored = score_batch(rated, F.col("_p"), F.col("_note"), contract.references, **options).drop(
         "_p", "_note"
     )

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.functions.numbers import clip
 from lodestat.operators import metrics
 from lodestat.operators.contract import Contract
+from lodestat.operators.drift import assess_drift
+from lodestat.operators.frequencies import long_text
 from lodestat.operators.modeling import (
     Family,
     FittedModel,
+    Preprocessor,
     build_regressors,
     logistic,
     out_of_fold,
@@ -28,11 +34,13 @@ from lodestat.operators.prepare import (
     table_fingerprint,
     transform,
 )
-from lodestat.operators.profiling import infer_semantic_types
+from lodestat.operators.profiling import detect_units, infer_semantic_types
 from lodestat.operators.protocol import assign_folds, stratified_split
-from lodestat.operators.scoring import MARK_RANGE, resolve_threshold, score_cohort
+from lodestat.operators.scoring import MARK_RANGE, check_policy, resolve_threshold, score_cohort
 from lodestat.session import materialized
 
+MAX_UNITS = 1_000
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -82,12 +90,17 @@ class Spec:
 
 @dataclass
 class TrainedRun:
+    """What training leaves for scoring; ``units`` are those of the training table, so that the reading of a
+    row never depends on the batch it comes in."""
+
     classifier: FittedModel
     regressor: FittedModel
     threshold: float
     holdout: dict[str, float]
     fingerprint: str
     rows: int
+    units: dict[str, list[str]] = field(default_factory=dict)
+    reference: DataFrame | None = None
 
 
 def discover(raw: DataFrame, vocabulary: Vocabulary | None = None) -> tuple[dict[str, str], DataFrame]:
@@ -96,11 +109,25 @@ def discover(raw: DataFrame, vocabulary: Vocabulary | None = None) -> tuple[dict
     return types, transform(raw, types, vocabulary)
 
 
-def curate(raw: DataFrame, spec: Spec) -> DataFrame:
+def curate(raw: DataFrame, spec: Spec, units: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Raw text to the gold table, on declared types."""
     types = declared_types(raw.columns, spec.numeric_columns)
     drop = [c for c in spec.exclusions if c not in spec.key]
-    return build_gold(transform(raw, types, spec.vocabulary), drop, spec.ratios)
+    known = units if units is not None else known_units(raw, spec)
+    return build_gold(transform(raw, types, spec.vocabulary, units=known), drop, spec.ratios)
+
+
+def known_units(raw: DataFrame, spec: Spec) -> dict[str, list[str]]:
+    """The units written in the numeric columns of a table, an empty list where there is none."""
+    columns = [c for c in spec.numeric_columns if c in raw.columns]
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    if columns:
+        listed = detect_units(long_text(raw, columns)).orderBy("colonne", "unite").limit(MAX_UNITS + 1).collect()
+        if len(listed) > MAX_UNITS:
+            raise ValueError(f"more than {MAX_UNITS} units: a numeric column holds free text")
+        for row in listed:
+            found[row["colonne"]].append(row["unite"])
+    return found
 
 
 def _families(spec: Spec, gold: DataFrame) -> tuple[Family, Family]:
@@ -121,7 +148,8 @@ def retrain(raw: DataFrame, spec: Spec) -> TrainedRun:
 
     The curated table is written once: every fold reads it back instead of redoing the cleaning.
     """
-    gold = materialized(curate(raw, spec))
+    units = known_units(raw, spec)
+    gold = materialized(curate(raw, spec, units))
     marked = stratified_split(gold, spec.target, spec.key, spec.test_size, spec.seed)
     train = materialized(
         assign_folds(
@@ -150,8 +178,9 @@ def retrain(raw: DataFrame, spec: Spec) -> TrainedRun:
     }
     print_of = table_fingerprint(gold).first()
     return TrainedRun(
-        classifier, regressor, float(threshold), measures, print_of["empreinte"], print_of["n_lignes"]
-    )
+        classifier, regressor, float(threshold), measures, print_of["empreinte"], print_of["n_lignes"], units,
+        train.drop("fold"),
+    )
 
 
 def predict(
@@ -160,18 +189,106 @@ def predict(
     contract: Contract,
     run: TrainedRun,
     show_flag: bool = False,
+    capacity: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored, refused, summary) of a raw batch: each received row is judged once, none dropped.
 
-    References keep the spelling they came with. The whole chain is one narrow plan per row.
+    References keep the spelling they came with. The whole chain is one narrow plan per row, with the units of
+    the training table. A ``capacity`` flags so many rows of the batch at most, in place of the run's threshold.
     """
+    check_policy(None, capacity, show_flag)
     types = declared_types(raw.columns, spec.numeric_columns)
     types |= {c: "brut" for c in contract.references if c in types}
-    typed, _ = recode(conform(raw, types), spec.vocabulary)
+    units = {c: run.units.get(c, []) for c, kind in types.items() if kind == "decimal"}
+    typed, _ = recode(conform(raw, types, units), spec.vocabulary)
 
     def score(valid: DataFrame) -> DataFrame:
         ready = build_gold(valid, [], spec.ratios)
         return run.regressor.predict(run.classifier.predict(ready, "_p"), "_note")
 
+    if capacity is not None:
+        return score_cohort(typed, contract, score, capacity)
     cut, origin = resolve_threshold(declared=run.threshold) if show_flag else (None, None)
     return score_cohort(typed, contract, score, threshold=cut, origin=origin)
+
+
+def batch_drift(scored: DataFrame, run: TrainedRun) -> DataFrame:
+    """Drift of the variables of a scored batch against the training table of the run."""
+    if run.reference is None:
+        raise ValueError("the run has no drift reference")
+    prepared = run.classifier.preprocessor
+    numeric = [c for c in prepared.numeric if c in scored.columns]
+    nominal = [c for c in [*prepared.ordinal, *prepared.nominal] if c in scored.columns]
+    return assess_drift(run.reference, scored, numeric, nominal)
+
+
+# ---------------------------------------------------------------------------------------------
+#  A run on disk: two Spark ML models, and tables for everything else.
+# ---------------------------------------------------------------------------------------------
+
+
+def _prepared_rows(name: str, prepared: Preprocessor) -> list[tuple]:
+    rows = []
+    for role, labels in (("numerique", {c: [] for c in prepared.numeric}), ("ordinal", prepared.ordinal), ("nominal", prepared.nominal)):
+        for place, (column, known) in enumerate(labels.items()):
+            numbers = [prepared.medians.get(column), prepared.means.get(column), prepared.deviations.get(column)]
+            rows.append((name, prepared.scale, role, place, column, list(known), *(None if v is None else float(v) for v in numbers)))
+    return rows
+
+
+_PREPARED = (
+    "modele string, echelle boolean, role string, rang int, variable string, etiquettes array<string>, mediane double, "
+    "moyenne double, ecart_type double"
+)
+
+
+def save_run(run: TrainedRun, path: str, version: str) -> str:
+    """Writes a run under ``path`` in a folder of its own and returns that folder.
+
+    Any earlier run stays. A run is complete when its last table, ``fiche``, is there.
+    """
+    spark = SparkSession.getActiveSession()
+    root = f"{path.rstrip('/')}/run={version}-{run.fingerprint}-{uuid.uuid4().hex[:8]}"
+    run.classifier.model.write().save(f"{root}/classifieur")
+    run.regressor.model.write().save(f"{root}/regresseur")
+    rows = _prepared_rows("classifieur", run.classifier.preprocessor) + _prepared_rows("regresseur", run.regressor.preprocessor)
+    spark.createDataFrame(rows, _PREPARED).write.parquet(f"{root}/preparation")
+    units = [(c, list(u)) for c, u in run.units.items()]
+    spark.createDataFrame(units, "colonne string, unites array<string>").write.parquet(f"{root}/unites")
+    if run.reference is not None:
+        run.reference.write.parquet(f"{root}/reference")
+    sheet = [(version, run.threshold, run.fingerprint, int(run.rows), run.reference is not None, {k: float(v) for k, v in run.holdout.items() if v is not None})]
+    kinds = "version string, seuil double, empreinte string, lignes bigint, reference boolean, mesures map<string,double>"
+    spark.createDataFrame(sheet, kinds).write.parquet(f"{root}/fiche")
+    return root
+
+
+def load_run(spark: SparkSession, root: str) -> TrainedRun:
+    """A run as it was saved."""
+    sheet = spark.read.parquet(f"{root}/fiche").first()
+    rows = spark.read.parquet(f"{root}/preparation").orderBy("modele", "role", "rang").collect()  # one per variable
+
+    def prepared(name: str) -> Preprocessor:
+        mine = [r for r in rows if r["modele"] == name]
+        role = lambda kind: [r for r in mine if r["role"] == kind]
+        number = lambda key: {r["variable"]: r[key] for r in mine if r[key] is not None}
+        return Preprocessor(
+            [r["variable"] for r in role("numerique")],
+            {r["variable"]: list(r["etiquettes"]) for r in role("ordinal")},
+            {r["variable"]: list(r["etiquettes"]) for r in role("nominal")},
+            bool(mine and mine[0]["echelle"]),
+            number("mediane"),
+            number("moyenne"),
+            number("ecart_type"),
+        )
+
+    return TrainedRun(
+        FittedModel(prepared("classifieur"), LogisticRegressionModel.load(f"{root}/classifieur"), True),
+        FittedModel(prepared("regresseur"), GBTRegressionModel.load(f"{root}/regresseur"), False),
+        sheet["seuil"],
+        dict(sheet["mesures"]),
+        sheet["empreinte"],
+        sheet["lignes"],
+        {r["colonne"]: list(r["unites"]) for r in spark.read.parquet(f"{root}/unites").collect()},
+        spark.read.parquet(f"{root}/reference") if sheet["reference"] else None,
+    )

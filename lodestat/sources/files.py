@@ -105,7 +105,8 @@ def sniff_files(spark: SparkSession, path: str, characters: int = SNIFFED_CHARAC
     """(path, encoding, has_bom, delimiter, size), one row per file of a folder or pattern.
 
     One rule whatever the size: the encoding is that of the whole file, whose lines are tested split by split;
-    the delimiter is read off the first ``characters``. Only the head of a file comes to one task.
+    the delimiter is read off the first ``characters``. Only the head of a file comes to one task. Spark
+    passes over empty files, which give no row.
     """
     listed = spark.read.format("binaryFile").load(path).select(
         "path", "length", F.col("_metadata.file_path").alias("file")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestat.operators.contract import Contract
-from lodestat.operators.scoring import score_cohort
+from lodestat.operators.scoring import cohort_summary, score_cohort, scored_union_refused
 
 
 def score_stream(
@@ -29,9 +29,14 @@ def score_stream(
     def land(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            scored, refused, summary = score_cohort(batch, contract, score, **options)
+            scored, refused, _ = score_cohort(batch, contract, score, **options)
             scored.write.mode("overwrite").parquet(f"{out}/scores/lot={number}")
             refused.write.mode("overwrite").parquet(f"{out}/refus/lot={number}")
+            # The written scores are read back: the models run once per batch.
+            read = batch.sparkSession.read
+            scored = read.schema(scored.schema).parquet(f"{out}/scores/lot={number}")
+            refused = read.schema(refused.schema).parquet(f"{out}/refus/lot={number}")
+            summary = cohort_summary(scored_union_refused(scored, refused))
             summary.write.mode("overwrite").parquet(f"{out}/synthese/lot={number}")
             if drift is not None:
                 drift(scored).write.mode("overwrite").parquet(f"{out}/derive/lot={number}")
