@@ -131,10 +131,10 @@ def _slots_of(rows: DataFrame) -> list[np.ndarray]:
     return [np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) for x in found]
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """The rows of the least key hashes, ``most`` of them at most: keys first, texts after."""
-    keys = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return rows.join(stored(keys), "doc_id")
+def _sample(keys: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """The texts of the least key hashes, ``most`` keys at most, which bounds what is broadcast."""
+    chosen = keys.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return texts.join(F.broadcast(stored(chosen)), "doc_id")
 
 
 def learn(
@@ -148,9 +148,9 @@ def learn(
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).head()[0]
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"))
-    toxic = known.where("toxic = 1").select("doc_id")
-    seen = _slots_of(_sample(texts.join(toxic, "doc_id", "left_semi"), positives))
-    rest = _slots_of(_sample(texts, unlabelled))
+    toxic = texts.select("doc_id").join(known.where("toxic = 1"), "doc_id", "left_semi")
+    seen = _slots_of(_sample(toxic, texts, positives))
+    rest = _slots_of(_sample(texts.select("doc_id"), texts, unlabelled))
     return train(seen, rest, prior or 0.0)
 
 
