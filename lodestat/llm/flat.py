@@ -162,12 +162,12 @@ def _least(packed: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(units: np.ndarray, first: np.ndarray, window: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows that share an anchor, as arrays (text, start, count, seed hash, context hash).
+    """Runs of windows that share an anchor, as arrays (text, start, count, place, seed hash, context hash).
 
     Every window of ``window`` units has one anchor, the leftmost of its seeds (``seed`` units) with the least
     hash; equal windows have equal anchors. A run is a maximal stretch of windows of one text with the same
-    anchor place; its context is all the units that its windows cover. ``first`` are the places in ``units``
-    where the texts begin, with the end of the last.
+    anchor place, here counted from the start of the run; its context is all the units that its windows cover.
+    ``first`` are the places in ``units`` where the texts begin, with the end of the last.
     """
     texts = len(first) - 1
     ends = np.repeat(first[1:], np.diff(first)) if texts else first
@@ -190,6 +190,7 @@ def anchored_runs(units: np.ndarray, first: np.ndarray, window: int, seed: int)
             np.searchsorted(first, start + begin, side="right") - 1,
             start + begin,
             stop - start,
+            place[start] - start,
             seeds[place[start]],
             context,
         )

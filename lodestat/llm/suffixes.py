@@ -27,6 +27,7 @@ ship_by_value(__name__)
 
 WINDOW = 100
 SEED = 32
+CELL = 8
 BATCHES = 4
 _ENTRY = ["lead", "rest"]
 
@@ -66,7 +67,7 @@ def _cuts(documents: DataFrame, batches: int) -> list[int]:
 
 def repeated_runs(documents: DataFrame, window: int = WINDOW, seed: int = SEED, batches: int = BATCHES) -> DataFrame:
     """(doc, at, n): runs of byte strings that also start earlier, by ``doc_id`` and then by place."""
-    settled = settled_runs(documents, "bytes", window, seed)
+    settled = settled_runs(documents, "bytes", window, seed, CELL)
     suffixes = stored(window_rows(documents, settled.where("NOT whole"), "bytes", window))
     family = SuffixLevels()
     found = settled.where("whole").select("doc", "at", "n")
