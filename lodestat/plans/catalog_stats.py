@@ -460,3 +460,38 @@ def _(spark, folder):
     found = quantiles(long_numbers(holes(spark, folder), NUMBERS), [0.01, 0.5, 0.999])
     q = F.col("quantiles")
     return found.select("colonne", q[0].alias("q01"), q[1].alias("q50"), q[2].alias("q999"))
+
+
+@register(
+    "noise_law",
+    "WITH c AS (SELECT count(DISTINCT l_returnflag) AS r, count(DISTINCT l_linestatus) AS s, count(DISTINCT l_linenumber) AS k, count(*) AS n FROM lineitem) "
+    f"SELECT 'l_returnflag' AS variable_1, 'l_linestatus' AS variable_2, 'v_cramer' AS mesure, 500 AS n_tirages, {R('(r - 1) * (s - 1) / (n - 1)')} AS attendu, TRUE AS moyenne_conforme FROM c "
+    f"UNION ALL SELECT 'l_linenumber', 'l_returnflag', 'v_cramer', 500, {R('(k - 1) * (r - 1) / (n - 1)')}, TRUE FROM c "
+    f"UNION ALL SELECT 'l_extendedprice', 'l_returnflag', 'eta', 500, {R('(r - 1) / (n - 1)')}, TRUE FROM c",
+)
+def _(spark, folder):
+    """The mean of 500 draws against its closed form: (r - 1)(c - 1)/(n - 1) for Cramér, (g - 1)/(n - 1) for η²."""
+    items = table(spark, folder, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("string"))
+    size = items.agg(
+        *[F.count_distinct(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_linenumber")],
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    rows, lines, marks, numbers = size["n"], size["l_returnflag"], size["l_linestatus"], size["l_linenumber"]
+    wanted = {
+        ("v_cramer", "l_returnflag", "l_linestatus"): ((lines - 1) * (marks - 1) / (rows - 1), min(lines, marks) - 1),
+        ("v_cramer", "l_linenumber", "l_returnflag"): ((numbers - 1) * (lines - 1) / (rows - 1), min(lines, numbers) - 1),
+        ("eta", "l_extendedprice", "l_returnflag"): ((lines - 1) / (rows - 1), 1),
+    }
+    parts = []
+    for (kind, a, b), (mean, scale) in wanted.items():
+        draws = noise.permutation_draws(items, [(a, b)], 500, 3, "v" if kind == "v_cramer" else "eta")
+        square = F.col("valeur") * F.col("valeur") * scale
+        parts.append(
+            draws.groupBy("variable_1", "variable_2").agg(
+                F.lit(kind).alias("mesure"),
+                F.count(F.lit(1)).cast("int").alias("n_tirages"),
+                F.lit(float(mean)).alias("attendu"),
+                (F.abs(F.avg(square) - mean) < 5 * F.stddev(square) / 500**0.5).alias("moyenne_conforme"),
+            )
+        )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -205,3 +205,21 @@ def test_halved_buckets_keep_the_law(monkeypatch):
         noise._draw_bucket(np.random.default_rng(5), sums, np.tile(groups, (4_000, 1)))
         means.append(sums.q.mean() - 1)
     assert all(abs(m - 8 / 99) < 0.003 for m in means)
+
+
+def test_missing_mechanism_finds_the_cause(spark):
+    rng = np.random.default_rng(8)
+    x, z = rng.normal(0, 1, 500), rng.normal(0, 1, 500)
+    c = rng.choice(["a", "b", "c"], 500)
+    hole, free, by_c = x > 0.8, rng.random(500) < 0.2, c == "a"
+    rows = [
+        (None if h else 1.0, None if f else 2.0, None if k else "v", float(a), float(b), str(t))
+        for h, f, k, a, b, t in zip(hole, free, by_c, x, z, c)
+    ]
+    df = spark.createDataFrame(rows, "m double, r double, n string, x double, z double, c string")
+    found = {r["colonne"]: r for r in missing.missing_mechanism(df, ["m", "r", "n"], ["x", "z", "c"], 199, 1).collect()}
+    assert set(found) == {"m", "r", "n"}
+    assert (found["m"]["variable_liee"], found["m"]["type"], found["m"]["mcar_rejete"]) == ("x", "numérique", True)
+    assert (found["n"]["variable_liee"], found["n"]["type"]) == ("c", "catégorielle")
+    assert found["n"]["mesure"] > found["n"]["bruit_95"] and found["r"]["mesure"] < 0.35
+    assert all(0 < r["p_permutation"] <= 1 for r in found.values())
