@@ -435,7 +435,9 @@ def isotonic_recalibration(
     """
     parts = []
     for k in range(n_splits):
-        inside = assign_folds(df.where(F.col("fold") != k).drop("fold"), key, inner_splits, seed + 1 + k, target)
+        inside = materialized(
+            assign_folds(df.where(F.col("fold") != k).drop("fold"), key, inner_splits, seed + 1 + k, target)
+        )
         scored = family.fit(inside, target).predict(df.where(F.col("fold") == k), "_brute")
         columns = [f"_c{j}" for j in range(inner_splits)]
         for j, column in enumerate(columns):
