@@ -7,8 +7,9 @@ some table with probability (1 - (1 - s**ROWS)**HALVES)**2, 0.9999 for the defau
 
 Half-keys that only one class has are dropped before the tables are written out, for no table can match on
 them. In each bucket the classes are first compared with one hub; what these links join needs no more
-comparison, and only classes of different components that share a bucket are compared pair by pair. Every
-link is confirmed on the full shingle sets.
+comparison. Classes of different components that share a bucket are compared pair by pair, each pair at one
+of its keys, unless their rare shingles already show that they are too far apart. Every link is confirmed on
+the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ ship_by_value(__name__)
 
 HALVES = 14
 ROWS = 3
+RARE = 32
 
 
 def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,11 +112,13 @@ def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(scan, "set bigint, hashes array<bigint>").dropDuplicates(["set"])
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets_of(documents: DataFrame, wanted: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(set, hashes) of the wanted classes, written once."""
+    return stored(full_sets(documents, classes.join(wanted, "set").select("doc", "set"), size))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
-    wanted = stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
-    wanted = stored(classes.join(wanted, "set").select("doc", "set"))
-    sets = stored(full_sets(documents, wanted, size))
     one = sets.select(F.col("set").alias("a"), F.col("hashes").alias("x"))
     two = sets.select(F.col("set").alias("b"), F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -122,10 +126,10 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, classes: DataFrame, size:
     return stored(pairs.join(one, "a").join(two, "b").where(both * 100 >= either * percent).select("a", "b"))
 
 
-def _tables(halves_of: DataFrame) -> DataFrame:
-    """(l, r, set, n): the keys of all tables a class is in."""
-    return halves_of.select("set", "n", F.explode("left").alias("l"), "right").select(
-        "l", F.explode("right").alias("r"), "set", "n"
+def _tables(halves_of: DataFrame, *columns: str) -> DataFrame:
+    """(l, r) and the named columns: the keys of all tables a class is in."""
+    return halves_of.select(*columns, F.explode("left").alias("l"), "right").select(
+        "l", F.explode("right").alias("r"), *columns
     )
 
 
@@ -138,7 +142,7 @@ def near_components(
     classes = stored(full.groupBy("set", "n").agg(F.min("doc").alias("doc")))
     known = full.join(classes, ["set", "n", "doc"]).dropDuplicates(["set"])
     half = known.select("set", "n", F.posexplode("half").alias("place", "key"))
-    shared = stored(half.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"))
+    shared = stored(half.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     key = F.col("key")
     halves_of = stored(
         half.join(shared, "key")
@@ -146,60 +150,113 @@ def near_components(
         .agg(
             F.collect_list(F.when(F.col("place") < halves, key)).alias("left"),
             F.collect_list(F.when(F.col("place") >= halves, key)).alias("right"),
+            F.sum("k").alias("met"),
         )
         .where((F.size("left") > 0) & (F.size("right") > 0))
     )
+    # The hub of a bucket is the class whose half-keys are the most common: of copies, the least edited one.
     buckets = stored(
-        _tables(halves_of).groupBy("l", "r").agg(F.min("set").alias("hub"), F.max("set").alias("far")).where("hub <> far")
+        _tables(halves_of, "set", "met")
+        .groupBy("l", "r")
+        .agg(F.max(F.struct("met", "set")).alias("hub"), F.min("set").alias("lo"), F.max("set").alias("hi"))
+        .where("lo <> hi")
+        .select("l", "r", F.col("hub.set").alias("hub"))
     )
-    close = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    met = stored(_tables(halves_of, "set", "n").join(buckets, ["l", "r"]).where("set <> hub").select("set", "n", "hub").distinct())
     sizes = classes.select(F.col("set").alias("hub"), F.col("n").alias("hub_n"))
     spokes = stored(
-        _tables(halves_of).join(buckets, ["l", "r"]).where("set <> hub").select("set", "n", "hub").distinct()
-    )
-    spokes = stored(
-        spokes.join(sizes, "hub").where(close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("set").alias("b"))
+        met.join(sizes, "hub")
+        .where(_close("n", "hub_n", percent))
+        .select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b"))
+        .distinct()
     )
-    links = _confirmed(spokes, documents, classes, size, percent)
+    near = spokes.select(F.col("a").alias("set")).union(spokes.select("b")).distinct()
+    links = _confirmed(spokes, _sets_of(documents, near, classes, size), percent)
 
     roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     rooted = stored(
         halves_of.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     )
-    in_tables = rooted.select("set", "n", "root", F.explode("left").alias("l"), "right").select(
-        "l", F.explode("right").alias("r"), "set", "n", "root"
+    more = _links_across(rooted, spokes, documents, classes, size, percent)
+    label = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    if more is not None:
+        joined = stored(components(more))
+        label = label.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn(
+            "root", F.coalesce("top", "root")
+        )
+    label = stored(label.select("set", "n", "doc", "root"))
+    least = stored(label.groupBy("root").agg(F.min("doc").alias("component")))
+    placed = stored(label.join(least, "root").select("set", "n", "component"))
+    return drawn.join(placed, ["set", "n"], "left").select(
+        "doc", "tag", "n", F.coalesce("component", "doc").alias("component")
     )
+
+
+def _links_across(
+    rooted: DataFrame, checked: DataFrame, documents: DataFrame, classes: DataFrame, size: int, percent: int
+) -> DataFrame | None:
+    """(u, v): components, by root, that a link joins beyond those already checked; None if there is none."""
     mixed = stored(
-        in_tables.groupBy("l", "r").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("l", "r")
+        _tables(rooted, "root").groupBy("l", "r").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("l", "r")
     )
-    open_ = stored(in_tables.join(mixed, ["l", "r"]))
-    other = open_.select("l", "r", F.col("set").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = (
-        open_.join(other, ["l", "r"])
-        .where((F.col("root") < F.col("other")) & close("n", "m"))
-        .select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b"))
-        .distinct()
+    met = _tables(rooted, "set").join(mixed, ["l", "r"]).select("set").distinct()
+    sets = _sets_of(documents, met, classes, size)
+    able = stored(_able(rooted.join(sets.select("set"), "set"), sets, percent))
+    still = stored(
+        _tables(able, "root").groupBy("l", "r").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("l", "r")
     )
-    more = _confirmed(stored(pairs.join(spokes, ["a", "b"], "left_anti")), documents, classes, size, percent)
-
-    docs = classes.select("set", "doc")
-    linked = (
-        links.unionByName(more)
-        .join(docs.select(F.col("set").alias("a"), F.col("doc").alias("u")), "a")
-        .join(docs.select(F.col("set").alias("b"), F.col("doc").alias("v")), "b")
-        .select("u", "v")
+    rare = stored(_rare(sets.join(able.select("set"), "set")))
+    wide = able.join(rare, "set", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<bigint>")))
+    one = wide.select(F.explode("left").alias("l"), "left", "right", "set", "n", "root", "rare")
+    one = one.join(still.select("l").distinct(), "l", "left_semi")
+    two = one.toDF("l", "left_b", "right_b", "b", "m", "other", "rare_b")
+    # A rare shingle of one class that is none of the other's is in no intersection of theirs.
+    both = F.least(
+        F.col("n") - F.size(F.array_except("rare", "rare_b")), F.col("m") - F.size(F.array_except("rare_b", "rare"))
     )
-    of_class = stored(components(linked))
-    placed = stored(
-        classes.join(of_class.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "set", "n", F.coalesce("root", "doc").alias("component")
-        )
+    pairs = (
+        one.join(two, "l")
+        .where((F.col("root") < F.col("other")) & _close("n", "m", percent))
+        .where(F.arrays_overlap("right", "right_b"))
+        .where(F.array_min(F.array_intersect("left", "left_b")) == F.col("l"))  # each pair at one of its keys
+        .where(both * 100 >= (F.col("n") + F.col("m") - both) * percent)
+        .select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b"))
     )
-    return drawn.join(placed, ["set", "n"], "left").select(
-        "doc", "tag", "n", F.coalesce("component", "doc").alias("component")
+    pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"))
+    if pairs.isEmpty():
+        return None
+    links = _confirmed(pairs, sets, percent)
+    if links.isEmpty():
+        return None
+    of = rooted.select("set", "root")
+    return links.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select("u", "v")
+
+
+def _able(rooted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The classes that can be similar to any other of them: a shingle that one class alone has is in no
+    intersection, and the others must be enough."""
+    alone = sets.select("set", F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("set").alias("set"))
+    alone = alone.where("k = 1").groupBy("set").agg(F.count(F.lit(1)).alias("alone"))
+    return (
+        rooted.join(alone, "set", "left")
+        .where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent)
+        .drop("alone", "met")
     )
 
 
+def _rare(sets: DataFrame) -> DataFrame:
+    """(set, rare): the shingles of each class that at most ``RARE`` of these classes have. Of copies that were
+    edited apart, these are the edits."""
+    shingles = sets.select("set", F.explode("hashes").alias("h"))
+    few = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= RARE).select("h")
+    return shingles.join(few, "h").groupBy("set").agg(F.collect_list("h").alias("rare"))
+
+
+def _close(x: str, y: str, percent: int):
+    """Whether two sets of these sizes can be similar enough."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -221,5 +278,5 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 def first_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near duplicates: of each component the one of the least ``doc_id``, unchanged."""
-    kept = near_components(documents, size, percent).where("doc = component").select(F.col("doc").alias("_doc")).distinct()
-    return documents.join(kept, doc_key() == F.col("_doc"), "left_semi")
+    kept = near_components(documents, size, percent).where("doc = component").select("doc").distinct().hint("shuffle_hash")
+    return documents.join(kept, doc_key() == kept["doc"], "left_semi")
