@@ -137,7 +137,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window occurs, unchanged, with all their columns."""
     found, _ = scan(documents, benchmark, window)
-    keys = found.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).distinct()
+    keys = found.select("doc", "tag").distinct()
     return documents.join(
-        keys, (doc_key() == F.col("_doc")) & (F.crc32(whole_text()) == F.col("_tag")), "left_anti"
+        keys, (doc_key() == keys["doc"]) & (F.crc32(whole_text()) == keys["tag"]), "left_anti"
     )
