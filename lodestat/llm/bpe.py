@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+import types
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -25,56 +27,11 @@ from lodestat.session import ship_by_value
 
 ship_by_value(__name__)
 
-# At most this many pre-tokens are remembered by a task, and none longer than this.
-REMEMBERED, LONGEST = 200_000, 64
-
-
-class RankQueue:
-    """Places by merge rank: the least rank first, and the leftmost place of a rank first."""
-
-    def __init__(self, ranks: int) -> None:
-        self.levels: list[list[int]] = []
-        while not self.levels or ranks > 1:
-            ranks = max((ranks + 63) >> 6, 1)
-            self.levels.append([0] * ranks)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        for level in self.levels:
-            word = rank >> 6
-            held = level[word]
-            level[word] = held | (1 << (rank & 63))
-            if held:
-                return
-            rank = word
-
-    def first(self) -> int:
-        """The least rank that has an entry, or -1."""
-        if not self.buckets:
-            return -1
-        word = 0
-        for level in reversed(self.levels):
-            bits = level[word]
-            word = (word << 6) | ((bits & -bits).bit_length() - 1)
-        return word
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for level in self.levels:
-                word = rank >> 6
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return place
+# At most this many pre-tokens are remembered by a worker, some 250 bytes each, and none longer than this.
+REMEMBERED, LONGEST = 800_000, 64
+
+
+_BIT = [1 << k for k in range(64)]
 
 
 class Codec:
@@ -87,7 +44,9 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.numerals = [str(k) for k in range(self.size)]
-        self.queue = RankQueue(max(self.size, 1))
+        # A bit per rank, a bit per word of those, and in one number a bit per word of those in turn.
+        self.low = [0] * ((self.size >> 6) + 1)
+        self.middle = [0] * ((self.size >> 12) + 1)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -98,36 +57,59 @@ class Codec:
         if whole is not None:
             return [whole]
         n = len(piece)
-        queue = self.queue
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        possible = [-1] * n
-        for place in range(n - 1):
-            rank = ranks.get(piece[place : place + 2])
-            if rank is not None:
-                possible[place] = rank
-                queue.push(rank, place)
-        while (rank := queue.first()) >= 0:
-            place = queue.pop(rank)
+        low, middle, high, bit = self.low, self.middle, 0, _BIT
+        buckets: dict[int, list[int]] = {}
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        find = ranks.get
+        possible = [find(piece[k : k + 2], -1) for k in range(n - 1)]
+        possible.append(-1)
+        fresh = [(rank, place) for place, rank in enumerate(possible) if rank >= 0]
+        while True:
+            for rank, place in fresh:
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [place]
+                    word = rank >> 6
+                    low[word] |= bit[rank & 63]
+                    middle[word >> 6] |= bit[word & 63]
+                    high |= 1 << (word >> 6)
+                else:
+                    heappush(bucket, place)
+            if not high:
+                break
+            # The least rank that has an entry: first set bit of each level.
+            word = (high & -high).bit_length() - 1
+            bits = middle[word]
+            word = (word << 6) | ((bits & -bits).bit_length() - 1)
+            bits = low[word]
+            rank = (word << 6) | ((bits & -bits).bit_length() - 1)
+            bucket = buckets[rank]
+            place = heappop(bucket)  # the leftmost place of the rank
+            if not bucket:
+                del buckets[rank]
+                low[word] ^= bit[rank & 63]
+                if not low[word]:
+                    middle[word >> 6] ^= bit[word & 63]
+                    if not middle[word >> 6]:
+                        high ^= 1 << (word >> 6)
+            fresh = []
             if possible[place] != rank:
                 continue  # stale
             gone = after[place]
-            end = after[gone]
-            after[place] = end
+            end = after[place] = after[gone]
             possible[gone] = -1
-            fresh = None
             if end < n:
                 before[end] = place
-                fresh = ranks.get(piece[place : after[end]])
-            possible[place] = -1 if fresh is None else fresh
-            if fresh is not None:
-                queue.push(fresh, place)
+                new = possible[place] = find(piece[place : after[end]], -1)
+                if new >= 0:
+                    fresh.append((new, place))
+            else:
+                possible[place] = -1
             left = before[place]
             if left >= 0:
-                fresh = ranks.get(piece[left:end])
-                possible[left] = -1 if fresh is None else fresh
-                if fresh is not None:
-                    queue.push(fresh, left)
+                new = possible[left] = find(piece[left:end], -1)
+                if new >= 0:
+                    fresh.append((new, left))
         out, place = [], 0
         while place < n:
             out.append(ranks[piece[place : after[place]]])
@@ -158,6 +140,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def _codec(ranks, path: str, pattern: str) -> Codec:
+    """The codec of this worker process, kept from task to task with what it remembers.
+
+    Functions are sent to tasks by value, so a global of this module would not outlive its task.
+    """
+    kept = sys.modules.setdefault("_lodestat_codecs", types.ModuleType("_lodestat_codecs")).__dict__
+    name = (path, pattern)
+    if kept.get("name") != name:
+        kept["name"], kept["codec"] = name, Codec(ranks.value, pattern)
+    return kept["codec"]
+
+
 def _shared(spark: SparkSession, path: str):
     """The ranks, read once by the driver and sent to each executor once; the vocabulary bounds their size."""
     return spark.sparkContext.broadcast(read_ranks(path))
@@ -178,7 +172,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = _shared(documents.sparkSession, path)
 
     def work(batches):
-        codec = Codec(ranks.value, pattern)
+        codec = _codec(ranks, path, pattern)
         for batch in _batches(batches):
             ids = [codec.encode(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +188,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = _shared(encoded.sparkSession, path)
 
     def work(batches):
-        codec = Codec(ranks.value, pattern)
+        codec = _codec(ranks, path, pattern)
         for batch in _batches(batches):
             out = [codec.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["doc_id", "bytes"])
@@ -212,7 +206,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     ranks = _shared(documents.sparkSession, path)
 
     def work(batches):
-        codec = Codec(ranks.value, pattern)
+        codec = _codec(ranks, path, pattern)
         sha, numerals = hashlib.sha256, codec.numerals
         for batch in _batches(batches):
             counts, ids_sha, bytes_sha = [], [], []

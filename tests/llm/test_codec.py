@@ -36,16 +36,14 @@ def test_very_long_pre_tokens(known):
         assert codec.encode(text) == library.encode_ordinary(text)
 
 
-def test_queue_order():
-    queue = bpe.RankQueue(50_000)
+def test_bitmap_is_left_clear(known):
+    codec, library = known
     draw = random.Random(9)
-    held = [(draw.randrange(50_000), draw.randrange(1000)) for _ in range(2000)]
-    for rank, place in held:
-        queue.push(rank, place)
-    out = []
-    while (rank := queue.first()) >= 0:
-        out.append((rank, queue.pop(rank)))
-    assert out == sorted(held) and not any(map(any, queue.levels))
+    for size in (2, 3, 7, 64, 65, 500):
+        for _ in range(40):
+            piece = bytes(draw.choice(b"aeinrst\x00\xc3\xa9 ") for _ in range(size))
+            assert codec.merge(piece) == library._encode_single_piece(piece)
+            assert not any(codec.low) and not any(codec.middle)
 
 
 def test_round_trip_of_a_table(spark, known):
