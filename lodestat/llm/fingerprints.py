@@ -82,8 +82,14 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
     return sum(1 for v in either if v in a and v in b) / len(either)
 
 
-def _written(whole: np.ndarray, sketch: list[np.ndarray]) -> list[str]:
-    return [f"{w:016x}:" + s.astype(">u4").tobytes().hex() for w, s in zip(whole.tolist(), sketch)]
+def _packed(whole: np.ndarray, sketch: list[np.ndarray]) -> list[bytes]:
+    """Eight bytes of the whole text, then four of each hash of the sketch."""
+    return [w.to_bytes(8, "big") + s.astype(">u4").tobytes() for w, s in zip(whole.tolist(), sketch)]
+
+
+def _written(column: str):
+    """A packed fingerprint as text: hexadecimal, a colon after the whole."""
+    return F.lower(F.concat_ws(":", F.hex(F.substring(column, 1, 8)), F.hex(F.expr(f"substring({column}, 9)")))).alias(column)
 
 
 def compared(texts: list[str], nexts: list[str]) -> list[pa.Array]:
@@ -96,8 +102,8 @@ def compared(texts: list[str], nexts: list[str]) -> list[pa.Array]:
     return [
         pa.array([len(t) for t in texts], type=pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], type=pa.string()),
-        pa.array(_written(own.span(starts[0], sizes[0]), mine), type=pa.string()),
-        pa.array(_written(changed.span(starts[1], sizes[1]), theirs), type=pa.string()),
+        pa.array(_packed(own.span(starts[0], sizes[0]), mine), type=pa.binary()),
+        pa.array(_packed(changed.span(starts[1], sizes[1]), theirs), type=pa.binary()),
         pa.array([likeness(x, y) for x, y in zip(mine, theirs)], type=pa.float64()),
         pa.array([likeness(x, y) for x, y in zip(mine, following)], type=pa.float64()),
         pa.array(common_extension(own, starts[0], changed, starts[1], np.minimum(sizes[0], sizes[1]))),
@@ -106,7 +112,7 @@ def compared(texts: list[str], nexts: list[str]) -> list[pa.Array]:
 
 
 _SCHEMA = (
-    "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+    "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, "
     "near_next double, common_edited bigint, common_next bigint"
 )
 
@@ -119,7 +125,7 @@ def _in_order(batches):
     waiting = None
 
     def row(state: int, part: pa.RecordBatch, text: str) -> pa.RecordBatch:
-        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())]
+        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.int64())]
         return pa.RecordBatch.from_arrays(
             [part.column(0), part.column(1), part.column(2), *nothing, pa.array([state], type=pa.int32()), pa.array([text], type=pa.string())],
             names=["doc_id", "doc", "tag", *_RESULT, "state", "text"],
@@ -177,8 +183,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     own = done.where(F.col("state") == _OPEN).select("doc_id", "doc", "tag", "text")
     following = done.where(F.col("state") == _HEAD).select(F.col("doc").alias("d"), F.col("tag").alias("t"), F.col("text").alias("next"))
     last = own.join(pairs, ["doc", "tag"]).join(following, ["d", "t"]).select("doc_id", "text", "next")
-    return (
-        done.where(F.col("state") == _DONE)
-        .select("doc_id", *_RESULT)
-        .unionByName(last.mapInArrow(_paired, f"doc_id {kind}, {_SCHEMA}"))
+    whole = done.where(F.col("state") == _DONE).select("doc_id", *_RESULT).unionByName(
+        last.mapInArrow(_paired, f"doc_id {kind}, {_SCHEMA}")
+    )
+    return whole.select(
+        "doc_id", *[_written(c) if c in ("fingerprint", "edited_fingerprint") else c for c in _RESULT]
     )
