@@ -236,17 +236,24 @@ def ridge(alpha: float = 1.0) -> Callable[[int, float], object]:
     )
 
 
+def forest(
+    trees: int = 100, depth: int = 5, leaf: int = 1, subset: str = "auto", seed: int = 0
+) -> Callable[[int, float], object]:
+    """Random forest of ``trees`` trees: their depth, least rows of a leaf and features tried at a split."""
+    return lambda n, sd: RandomForestClassifier(
+        featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
+        featureSubsetStrategy=subset, seed=seed,
+    )
+
+
 def build_classifiers(roles: Mapping, seed: int = 0, trees: int = 100) -> dict[str, Family]:
     """The three classification families; only the linear one is scaled."""
-    forest = lambda n, sd: RandomForestClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, seed=seed
-    )
     boosted = lambda n, sd: GBTClassifier(
         featuresCol=FEATURES, labelCol=LABEL, maxIter=trees, maxDepth=6, stepSize=0.3, seed=seed
     )
     return {
         "logreg": Family("logreg", logistic(), True, True, **roles),
-        "random_forest": Family("random_forest", forest, False, True, **roles),
+        "random_forest": Family("random_forest", forest(trees, seed=seed), False, True, **roles),
         "boosting": Family("boosting", boosted, False, True, **roles),
     }
 

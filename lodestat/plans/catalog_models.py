@@ -635,7 +635,7 @@ def _(spark, folder):
     )
 
 
-_FOLDS = 3  # each fold is a fit of its own; the library's default is five
+_FOLDS = 5
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -680,7 +680,7 @@ def _(spark, folder):
     rows = _documents(spark, folder)
     parts = [
         family.fit(rows, "quality").predict(rows).select(F.lit(name).alias("famille"), "quality", "p")
-        for name, family in modeling.build_classifiers(_ROLES, trees=5).items()
+        for name, family in modeling.build_classifiers(_ROLES).items()
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return metrics.classification_metrics(both, "quality", "p", ["famille"])
@@ -694,7 +694,7 @@ def _(spark, folder):
         family.fit(rows, "l_extendedprice").predict(rows).select(
             F.lit(name).alias("famille"), "l_extendedprice", "p"
         )
-        for name, family in modeling.build_regressors(roles, trees=5).items()
+        for name, family in modeling.build_regressors(roles).items()
     ]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return metrics.regression_metrics(both, "l_extendedprice", "p", ["famille"])
@@ -735,7 +735,7 @@ def _(spark, folder):
 
 @register("ablate")
 def _(spark, folder):
-    blocks = {"langue": ["lang"]}
+    blocks = {"langue": ["lang"], "longueur": ["n_chars"], "espaces": ["espaces"]}
     return modeling.ablate(_documents(spark, folder), _logreg(), "quality", blocks, _FOLDS)
 
 
@@ -744,17 +744,29 @@ def _(spark, folder):
     return modeling.search(
         _documents(spark, folder),
         lambda params: _logreg(params["C"]),
-        modeling.grid({"C": [0.01, 0.1, 1.0, 10.0]}),
+        modeling.grid({"C": [0.001, 0.01, 0.1, 0.3, 1.0, 3.0, 10.0]}),
         "quality",
         n_splits=_FOLDS,
     )
 
 
+_FOREST_SPACE = {
+    "trees": lambda rng: rng.randrange(200, 501, 100),
+    "depth": lambda rng: rng.randint(3, 20),
+    "leaf": lambda rng: rng.randint(1, 20),
+    "subset": lambda rng: rng.choice(["sqrt", "log2", "all"]),
+}
+
+
 @register("random_search")
 def _(spark, folder):
-    drawn = modeling.random_candidates({"C": lambda rng: 10 ** rng.uniform(-2, 1)}, 2, 7)
+    drawn = modeling.random_candidates(_FOREST_SPACE, 20, 7)
     return modeling.search(
-        _documents(spark, folder), lambda p: _logreg(p["C"]), drawn, "quality", n_splits=3
+        _documents(spark, folder),
+        lambda params: modeling.Family("random_forest", modeling.forest(**params), False, True, **_ROLES),
+        drawn,
+        "quality",
+        n_splits=_FOLDS,
     )
 
 
@@ -776,7 +788,7 @@ def _(spark, folder):
 
 @register("isotonic_recalibration")
 def _(spark, folder):
-    return modeling.isotonic_recalibration(_documents(spark, folder), _logreg(), "quality", _FOLDS, 2)
+    return modeling.isotonic_recalibration(_documents(spark, folder), _logreg(), "quality", _FOLDS, 5)
 
 
 _SQL_PANEL = (
@@ -825,7 +837,7 @@ def _(spark, folder):
     spec = Spec(
         "1.0", "abandon", "moyenne", ("cle",), ("distance", "rendus", "abandon", "moyenne"),
         nominal={"priorite": ("1-urgent", "2-high", "3-medium", "4-not specified", "5-low")},
-        ratios={"ratio": ("rendus", "distance")}, n_splits=3, trees=5,
+        ratios={"ratio": ("rendus", "distance")},
     )
     run = retrain(raw, spec)
     facts = {"seuil": run.threshold, "lignes": float(run.rows), **run.holdout}
