@@ -6,11 +6,16 @@ one side, cut into buckets that tasks draw in parallel, and the group sizes of t
 The share of each group that falls in each bucket is itself drawn first, down a binary tree whose
 forks all tasks of a pair draw alike (seeded), so the buckets together make one exact permutation.
 The cost depends on the distinct values, not on the rows.
+
+A side of too many groups is cut into buckets too. A task then draws one block of the table, a bucket of
+values by a bucket of groups: the totals of the blocks come down the same tree, and the share of each value
+and of each group that falls in the block down trees of their own. Given these shares blocks are independent.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,11 +29,13 @@ from lodestat.session import materialized, ship_by_value
 ship_by_value(__name__)
 
 VALUES_PER_TASK = 20_000
-MAX_GROUPS = 200_000  # group sizes travel with the tasks: 1.6 MB at most
+GROUPS_AT_ONCE = 200_000  # group sizes travel with the tasks, 1.6 MB at most; more groups are drawn by blocks
+BLOCK_SIDE = 50_000  # values, and groups, of a block
 ROWS_AT_ONCE = 5_000_000  # drawn in one array; more rows are split first
 _LOTS = 8  # permutations are spread over this many tasks per bucket
 _NUMPY_RANGE = 1_000_000_000  # population that numpy's generator accepts
 _PAIR = ["variable_1", "variable_2"]
+_DRAWN = "paire int, tirage int, tas int, q double, s array<double>, c array<double>"
 
 
 def _log_factorial(x: np.ndarray) -> np.ndarray:
@@ -86,7 +93,7 @@ def _hypergeometric(rng: np.random.Generator, good, bad, drawn) -> np.ndarray:
     return _ratio_of_uniforms(rng, good, bad, drawn)
 
 
-def _split(rng: np.random.Generator, available: np.ndarray, size: int) -> np.ndarray:
+def _split(rng: np.random.Generator, available: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """How many of each group fall among ``size`` places, one line per permutation."""
     left = np.full(len(available), size, dtype="int64")
     rest = available.sum(axis=1)
@@ -118,6 +125,59 @@ def _share(seeds: list[int], groups: np.ndarray, sizes: np.ndarray, bucket: int,
     return available
 
 
+def _block_shares(
+    seeds: list[int], counts: np.ndarray, groups: np.ndarray, rows: np.ndarray, columns: np.ndarray,
+    i: int, j: int, permutations: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows of each value of bucket ``i`` and of each group of bucket ``j`` fall in block (i, j).
+
+    ``counts`` and ``groups`` are those of the two buckets, ``rows`` and ``columns`` the totals of all buckets. All
+    tasks draw the totals of the blocks alike; the tasks of one bucket also draw its forks alike.
+    """
+    before = np.concatenate([[0], np.cumsum(rows)])
+    totals = np.tile(columns, (permutations, 1))
+    inside = np.tile(groups, (permutations, 1))
+    low, high = 0, len(rows)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = _split(np.random.default_rng([*seeds, 1, low, high]), totals, int(before[middle] - before[low]))
+        part = _split(np.random.default_rng([*seeds, 2, low, high, j + 1]), inside, first[:, j])
+        if i < middle:
+            totals, inside, high = first, part, middle
+        else:
+            totals, inside, low = totals - first, inside - part, middle
+    values = np.tile(counts, (permutations, 1))
+    low, high = 0, len(columns)
+    while high - low > 1:
+        middle = (low + high) // 2
+        part = _split(np.random.default_rng([*seeds, 3, low, high, i + 1]), values, totals[:, low:middle].sum(axis=1))
+        if j < middle:
+            values, high = part, middle
+        else:
+            values, low = values - part, middle
+    return values, inside
+
+
+def _cells(rng, counts: np.ndarray, groups: np.ndarray, base: int = 0):
+    """(value code, group, rows) of the cells of one permuted table, a stretch of values at a time."""
+    rows = int(counts.sum())
+    if rows == 0:
+        return
+    if len(counts) == 1:
+        seen = np.flatnonzero(groups)
+        yield np.full(len(seen), base), seen, groups[seen]
+    elif rows <= ROWS_AT_ONCE:
+        labels = np.repeat(np.arange(len(groups)), groups)
+        rng.shuffle(labels)
+        cells, n = np.unique(np.repeat(np.arange(len(counts)), counts) * len(groups) + labels, return_counts=True)
+        yield base + cells // len(groups), cells % len(groups), n
+    else:
+        middle = len(counts) // 2
+        first = _split(rng, groups[None, :], int(counts[:middle].sum()))[0]
+        yield from _cells(rng, counts[:middle], first, base)
+        yield from _cells(rng, counts[middle:], groups - first, base + middle)
+
+
 class _Sums:
     """What a permuted table leaves of one bucket: all the statistics are sums over its values."""
 
@@ -196,13 +256,91 @@ def _frequencies(df: DataFrame, names: list[str], numeric: bool) -> DataFrame:
     )
 
 
+def _packed(freq: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """(colonne, paquet, n, valeur), one row per bucket in the order of its values, and the totals of the buckets."""
+    own = freq.where(F.col("colonne").isin(columns))
+    many = {r["colonne"]: math.ceil(r["k"] / BLOCK_SIDE) for r in own.groupBy("colonne").agg(F.count(F.lit(1)).alias("k")).collect()}
+    count_of = F.create_map(*[x for c, k in many.items() for x in (F.lit(c), F.lit(k))])
+    packed = materialized(
+        own.withColumn("paquet", F.pmod(F.xxhash64("valeur"), count_of[F.col("colonne")]).cast("int"))
+        .groupBy("colonne", "paquet")
+        .agg(F.sum("n").alias("t"), F.sort_array(F.collect_list(F.struct("valeur", "n"))).alias("_p"))
+        .select("colonne", "paquet", "t", F.col("_p.n").alias("n"), F.col("_p.valeur").alias("valeur"))
+    )
+    totals = {c: np.zeros(k, dtype="int64") for c, k in many.items()}
+    for r in packed.select("colonne", "paquet", "t").collect():
+        totals[r["colonne"]][r["paquet"]] = r["t"]
+    return packed, totals
+
+
+def _drawn_by_blocks(
+    left: DataFrame, right: DataFrame, pairs: dict[int, tuple[str, str]], n_permutations: int, seed: int, numeric: bool
+) -> DataFrame:
+    """What each permuted table leaves of each block of values by groups; ``tas`` is the bucket of the groups."""
+    rows, row_totals = _packed(left, sorted({a for a, _ in pairs.values()}))
+    columns, column_totals = _packed(right, sorted({b for _, b in pairs.values()}))
+    lot_size = math.ceil(n_permutations / _LOTS)
+    keys = ["paire", "i", "j", "lot"]
+
+    def spread_over(packed: DataFrame, side: int, own: str, other: str, totals: dict[str, np.ndarray]) -> DataFrame:
+        met = [
+            F.struct(F.lit(p).alias("paire"), F.lit(len(totals[pair[1 - side]])).alias("k"), F.lit(pair[side]).alias("colonne"))
+            for p, pair in pairs.items()
+        ]
+        return (
+            packed.withColumn("_m", F.explode(F.array(*met)))
+            .where(F.col("_m.colonne") == F.col("colonne"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_m.k") - 1)))
+            .withColumn("lot", F.explode(F.array(*[F.lit(x) for x in range(_LOTS)])))
+            .select(F.col("_m.paire").alias("paire"), F.col("paquet").alias(own), other, "lot", "n", "valeur")
+        )
+
+    def draw(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        index, i, j, lot = (int(x) for x in key)
+        first = lot * lot_size
+        permutations = min(lot_size, n_permutations - first)
+        if permutations <= 0 or mine.empty or theirs.empty:
+            return pd.DataFrame(columns=["paire", "tirage", "tas", "q", "s", "c"])
+        a, b = pairs[index]
+        counts, groups = (np.asarray(side["n"].iloc[0], dtype="int64") for side in (mine, theirs))
+        values = np.asarray(mine["valeur"].iloc[0], dtype="float64") if numeric else None
+        seeds = [seed, index, lot]
+        inner, outer = _block_shares(seeds, counts, groups, row_totals[a], column_totals[b], i, j, permutations)
+        rng = np.random.default_rng([*seeds, 4, i + 1, j + 1])
+        q = np.zeros(permutations)
+        s, c = (np.zeros((permutations, len(groups) if numeric else 0)) for _ in range(2))
+        for p in range(permutations):
+            for code, label, n in _cells(rng, inner[p], outer[p]):
+                if not numeric:
+                    q[p] += ((n / counts[code]) * (n / groups[label])).sum()
+                    continue
+                valid = ~np.isnan(values[code])
+                label, n = label[valid], n[valid]
+                s[p] += np.bincount(label, weights=n * values[code[valid]], minlength=len(groups))
+                c[p] += np.bincount(label, weights=n, minlength=len(groups))
+        return pd.DataFrame(
+            {
+                "paire": index,
+                "tirage": np.arange(first, first + permutations),
+                "tas": j,
+                "q": q,
+                "s": list(s) if numeric else None,
+                "c": list(c) if numeric else None,
+            }
+        )
+
+    mine = spread_over(rows, 0, "i", "j", column_totals)
+    theirs = spread_over(columns, 1, "j", "i", row_totals)
+    return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(draw, _DRAWN)
+
+
 def permutation_draws(
     df: DataFrame, pairs: list[tuple[str, str]], n_permutations: int, seed: int, kind: str
 ) -> DataFrame:
     """(variable_1, variable_2, tirage, valeur): the measure of each permuted table.
 
     ``kind``: ``v`` (Cramér), ``eta`` (correlation ratio) or ``spread`` (gap of group means). Only
-    group sizes and one total per column and bucket reach the driver.
+    group sizes, up to ``GROUPS_AT_ONCE`` of a column, and one total per column and bucket reach the driver.
     """
     numeric = kind != "v"
     firsts, seconds = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
@@ -240,10 +378,9 @@ def permutation_draws(
             return drawn.select(
                 parts[0].alias("variable_1"), parts[1].alias("variable_2"), "tirage", "valeur"
             )
-    too_many = [b for _, b in pairs if distinct[b] > MAX_GROUPS]
-    if too_many:
-        raise ValueError(f"more than {MAX_GROUPS} groups: {sorted(set(too_many))}")
-    sizes = _collect_sizes(right, seconds)
+    wide = [i for i, (_, b) in enumerate(pairs) if distinct[b] > GROUPS_AT_ONCE]
+    narrow = [i for i in range(len(pairs)) if i not in set(wide)]
+    sizes = _collect_sizes(right, sorted({pairs[i][1] for i in narrow})) if narrow else {}
     buckets = {c: max(1, math.ceil(stats[c]["k"] / VALUES_PER_TASK)) for c in firsts}
     count_of = F.create_map(*[x for c in firsts for x in (F.lit(c), F.lit(buckets[c]))])
     placed = left.withColumn(
@@ -261,7 +398,7 @@ def permutation_draws(
     for r in placed.groupBy("colonne", "paquet").agg(*measured).collect():
         totals[r["colonne"]][r["paquet"]] = r["t"]
         square[r["colonne"]] += (r["ss"] or 0.0) if numeric else 0.0
-    tests = {c: [(i, b) for i, (a, b) in enumerate(pairs) if a == c] for c in firsts}
+    tests = {c: [(i, pairs[i][1]) for i in narrow if pairs[i][0] == c] for c in firsts}
     lot_size = math.ceil(n_permutations / _LOTS)
 
     def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -282,6 +419,7 @@ def permutation_draws(
                     {
                         "paire": index,
                         "tirage": np.arange(first, first + permutations),
+                        "tas": 0,
                         "q": sums.q,
                         "s": list(sums.s) if numeric else None,
                         "c": list(sums.c) if numeric else None,
@@ -289,15 +427,22 @@ def permutation_draws(
                 )
             )
         if not out:
-            return pd.DataFrame(columns=["paire", "tirage", "q", "s", "c"])
+            return pd.DataFrame(columns=["paire", "tirage", "tas", "q", "s", "c"])
         return pd.concat(out, ignore_index=True)
 
     lots = F.explode(F.array(*[F.lit(i) for i in range(_LOTS)]))
-    drawn = (
-        placed.withColumn("lot", lots)
-        .groupBy("colonne", "paquet", "lot")
-        .applyInPandas(draw, "paire int, tirage int, q double, s array<double>, c array<double>")
-    )
+    parts = []
+    if narrow:
+        parts.append(
+            placed.where(F.col("colonne").isin([c for c in firsts if tests[c]]))
+            .withColumn("lot", lots)
+            .groupBy("colonne", "paquet", "lot")
+            .applyInPandas(draw, _DRAWN)
+        )
+    if wide:
+        centred = placed.select("colonne", "valeur", "n")
+        parts.append(_drawn_by_blocks(centred, right, {i: pairs[i] for i in wide}, n_permutations, seed, numeric))
+    drawn = reduce(DataFrame.unionByName, parts)
     name_1 = F.array(*[F.lit(a) for a, _ in pairs])[F.col("paire")]
     name_2 = F.array(*[F.lit(b) for _, b in pairs])[F.col("paire")]
     if kind == "v":
@@ -308,8 +453,8 @@ def permutation_draws(
         per_draw = drawn.groupBy("paire", "tirage").agg(F.sum("q").alias("q"))
     else:
         cells = (
-            drawn.select("paire", "tirage", F.posexplode(F.arrays_zip("s", "c")).alias("g", "_z"))
-            .groupBy("paire", "tirage", "g")
+            drawn.select("paire", "tirage", "tas", F.posexplode(F.arrays_zip("s", "c")).alias("g", "_z"))
+            .groupBy("paire", "tirage", "tas", "g")
             .agg(F.sum("_z.s").alias("s"), F.sum("_z.c").alias("c"))
         )
         mean = F.when(F.col("c") > 0, F.col("s") / F.col("c"))

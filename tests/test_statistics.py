@@ -106,6 +106,36 @@ def test_noise_has_the_law_of_shuffled_rows(spark, per_task, monkeypatch):
             assert abs(a - b) < 0.09 * b, (kind, q, a, b)
 
 
+def test_more_groups_than_travel_are_drawn_by_blocks(spark, monkeypatch):
+    """The law of shuffled rows holds in blocks, where both sides span several buckets; other pairs are drawn beside."""
+    monkeypatch.setattr(noise, "GROUPS_AT_ONCE", 10)
+    monkeypatch.setattr(noise, "BLOCK_SIDE", 9)
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(600) < 0.34, 3.0, rng.integers(-20, 20, 600))
+    c, g, h = (rng.integers(0, k, 600).astype(str) for k in (60, 40, 3))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "c": c, "g": g, "h": h}))
+    for kind, first, values, measure in (("v", "c", c, cramers), ("eta", "x", x, eta), ("spread", "x", x, spread)):
+        got = noise.permutation_draws(df, [(first, "g"), (first, "h")], 400, 1, kind).toPandas()
+        for second, groups in (("g", g), ("h", h)):
+            mine = got[got["variable_2"] == second]
+            assert sorted(mine["tirage"]) == list(range(400))
+            expected = draws_by_shuffling(values, groups, measure, 400)
+            for q in (0.5, 0.95):
+                a, b = np.quantile(mine["valeur"], q), np.quantile(expected, q)
+                assert abs(a - b) < 0.15 * b, (kind, second, q, a, b)
+
+
+def test_blocks_keep_both_margins():
+    counts, groups = [np.array([5, 9]), np.array([20]), np.array([1, 15])], [np.array([7, 3]), np.array([30, 10])]
+    rows, columns = np.array([14, 20, 16]), np.array([10, 40])
+    blocks = {
+        (i, j): noise._block_shares([1, 2], counts[i], groups[j], rows, columns, i, j, 40) for i in range(3) for j in range(2)
+    }
+    assert all((values.sum(axis=1) == inside.sum(axis=1)).all() for values, inside in blocks.values())
+    assert all((sum(blocks[i, j][0] for j in range(2)) == counts[i]).all() for i in range(3))
+    assert all((sum(blocks[i, j][1] for i in range(3)) == groups[j]).all() for j in range(2))
+
+
 def test_noise_is_reproducible_and_p_never_zero(spark):
     df = pairs(spark, ["a"] * 50 + ["b"] * 50, ["0"] * 50 + ["1"] * 50)
     observed = association.association_pairs(df, [("a", "b")])
