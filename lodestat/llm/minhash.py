@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodestat.llm import flat
 from lodestat.llm.components import components
 from lodestat.llm.repeats import _column, keyed
-from lodestat.llm.stored import doc_key, stored
+from lodestat.llm.stored import doc_key, stored, whole_text
 from lodestat.session import ship_by_value
 
 ship_by_value(__name__)
@@ -69,6 +69,11 @@ def _half_keys(hashes: np.ndarray, bounds: np.ndarray, halves: int, rows: int) -
     return keys
 
 
+def _keyed(documents: DataFrame) -> DataFrame:
+    """(doc, tag, text); the tag has 64 bits, as it tells apart all texts without ``doc_id``."""
+    return keyed(documents).withColumn("tag", F.xxhash64("text"))
+
+
 def sketches(documents: DataFrame, size: int, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """(doc, tag, n, set, half): shingle count, id of the shingle set, and half-keys of every document."""
 
@@ -89,11 +94,11 @@ def sketches(documents: DataFrame, size: int, halves: int = HALVES, rows: int =
                 names=["doc", "tag", "n", "set", "half"],
             )
 
-    return keyed(documents).mapInArrow(scan, "doc bigint, tag bigint, n bigint, set bigint, half array<bigint>")
+    return _keyed(documents).mapInArrow(scan, "doc bigint, tag bigint, n bigint, set bigint, half array<bigint>")
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set, hashes): the whole shingle sets of the classes in ``wanted`` (doc, set)."""
+    """(set, hashes): the whole shingle sets of the classes in ``wanted`` (doc, tag, set)."""
 
     def scan(batches):
         for part, data, offsets in flat.pieces(batches):
@@ -108,13 +113,13 @@ def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 names=["set", "hashes"],
             )
 
-    rows = keyed(documents).join(wanted.hint("shuffle_hash"), "doc")
+    rows = _keyed(documents).join(wanted.hint("shuffle_hash"), ["doc", "tag"])
     return rows.mapInArrow(scan, "set bigint, hashes array<bigint>").dropDuplicates(["set"])
 
 
 def _sets_of(documents: DataFrame, wanted: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(set, hashes) of the wanted classes, written once."""
-    return stored(full_sets(documents, classes.join(wanted, "set").select("doc", "set"), size))
+    return stored(full_sets(documents, classes.join(wanted, "set").select("doc", "tag", "set"), size))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,11 +141,12 @@ def _tables(halves_of: DataFrame, *columns: str) -> DataFrame:
 def near_components(
     documents: DataFrame, size: int, percent: int = 80, halves: int = HALVES, rows: int = ROWS
 ) -> DataFrame:
-    """(doc, tag, n, component): every document with the least doc key that links reach from it."""
+    """(doc, tag, n, component, first): every document with the least doc key that links reach from it, and the
+    least tag under that key."""
     drawn = stored(sketches(documents, size, halves, rows))
     full = drawn.where("n > 0")
-    classes = stored(full.groupBy("set", "n").agg(F.min("doc").alias("doc")))
-    known = full.join(classes, ["set", "n", "doc"]).dropDuplicates(["set"])
+    classes = stored(full.groupBy("set", "n").agg(F.min(F.struct("doc", "tag")).alias("_f")).select("set", "n", "_f.*"))
+    known = full.join(classes, ["set", "n", "doc", "tag"]).dropDuplicates(["set"])
     half = known.select("set", "n", F.posexplode("half").alias("place", "key"))
     shared = stored(half.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     key = F.col("key")
@@ -184,11 +190,12 @@ def near_components(
         label = label.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn(
             "root", F.coalesce("top", "root")
         )
-    label = stored(label.select("set", "n", "doc", "root"))
-    least = stored(label.groupBy("root").agg(F.min("doc").alias("component")))
-    placed = stored(label.join(least, "root").select("set", "n", "component"))
+    label = stored(label.select("set", "n", "doc", "tag", "root"))
+    least = label.groupBy("root").agg(F.min(F.struct("doc", "tag")).alias("_f"))
+    least = stored(least.select("root", F.col("_f.doc").alias("component"), F.col("_f.tag").alias("first")))
+    placed = stored(label.join(least, "root").select("set", "n", "component", "first"))
     return drawn.join(placed, ["set", "n"], "left").select(
-        "doc", "tag", "n", F.coalesce("component", "doc").alias("component")
+        "doc", "tag", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("first", "tag").alias("first")
     )
 
 
@@ -277,6 +284,17 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def first_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each component the one of the least ``doc_id``, unchanged."""
-    kept = near_components(documents, size, percent).where("doc = component").select("doc").distinct().hint("shuffle_hash")
-    return documents.join(kept, doc_key() == kept["doc"], "left_semi")
+    """The documents without near duplicates: of each component the one of the least (``doc_id``, text hash).
+
+    Texts without ``doc_id`` or under one ``doc_id`` are documents of their own. Of repeated rows of the document
+    that stays, one stays.
+    """
+    found = near_components(documents, size, percent).where("doc = component AND tag = first")
+    kept = stored(found.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("k")))
+    names = [f"_{i}" for i in range(len(documents.columns))]
+    rows = documents.toDF(*names)
+    text, key = (names[documents.columns.index(c)] for c in ("text", "doc_id"))
+    rows = rows.withColumns({"doc": doc_key(key), "tag": F.xxhash64(whole_text(text))})
+    once = rows.join(kept.where("k = 1").hint("shuffle_hash"), ["doc", "tag"], "left_semi")
+    more = rows.join(kept.where("k > 1").hint("shuffle_hash"), ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"])
+    return once.unionByName(more).select(*names).toDF(*documents.columns)

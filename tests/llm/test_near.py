@@ -40,6 +40,20 @@ def test_null_keys_and_extra_columns(spark):
     assert minhash.near_duplicates(table(spark, rows).where("false")).count() == 0
 
 
+def test_one_of_each_group_without_or_under_one_key(spark):
+    base = " ".join("w%d" % k for k in range(60))
+    near, other = base + " tail", " ".join("v%d" % k for k in range(60))
+    rows = [(None, base), (None, near), (None, base), (None, other), (None, ""), (None, None)]
+    rows += [(3, base + " end"), (5, other + " end"), (5, other), (8, "a b c d e f"), (8, "a b c d e f"), (9, "A b c d e f")]
+    out = minhash.first_of_each(table(spark, rows)).collect()
+    groups = [{base, near, base + " end"}, {other, other + " end"}, {"", None}, {"a b c d e f"}]
+    assert len(out) == len(groups)
+    assert all(sum(r.text in group for r in out) == 1 for group in groups)
+    assert sorted(str(r.doc_id) for r in out) == ["8", "None", "None", "None"]
+    rows = [(5, other + " end"), (5, other), (6, base)]
+    assert sorted(r.doc_id for r in minhash.first_of_each(table(spark, rows)).collect()) == [5, 6]
+
+
 def test_components_of_random_links(spark):
     draw = random.Random(6)
     links = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)]
