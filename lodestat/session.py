@@ -74,5 +74,8 @@ def broadcast_if_few(table: DataFrame, groups: int, limit: int = FEW_GROUPS) ->
 
 
 def ship_by_value(module: str) -> None:
-    """Sends the functions of a module to the tasks themselves: executors need no install."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
+    """Sends the functions of a module's whole package to the tasks themselves: executors need no install.
+
+    The package and not the module alone, as what a function uses from other modules would be sent by name.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module.partition(".")[0]])
