@@ -69,14 +69,14 @@ def op11(spark, folder):
       GROUP BY ALL HAVING count(*) >= 100
     ),
     c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
-    cut AS (SELECT *, array_to_string(ws[:at], ' ') AS lp, array_to_string(ws[at + 1:], ' ') AS rp
-      FROM (SELECT *, unnest(range(1, k)) AS at FROM c)),
+    cut AS (SELECT *, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp
+      FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
     s AS (
-      SELECT cut.lang, cut.phrase, a, n, at, lf.f AS l, rf.f AS r,
+      SELECT cut.lang, cut.phrase, a, n, j, lf.f AS l, rf.f AS r,
         CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(lf.f AS HUGEINT) * rf.f) AS BIGINT) AS score
       FROM cut JOIN f AS lf ON lf.lang = cut.lang AND lf.phrase = lp JOIN f AS rf ON rf.lang = cut.lang AND rf.phrase = rp
       JOIN total ON total.lang = cut.lang
-      QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, at) = 1
+      QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, j) = 1
     ),
     longer AS (
       SELECT lang, phrase, max(a) AS f FROM (
