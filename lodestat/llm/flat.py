@@ -1,6 +1,6 @@
 """Texts of an Arrow batch as flat numpy arrays, with prefix polynomial hashes over them.
 
-A batch is taken in pieces of some megabytes, or one text where it is longer. All arithmetic is modulo 2**64
+A batch is taken in pieces of a quarter of a megabyte, or one text where it is longer. All arithmetic is modulo 2**64
 on uint64 arrays: with ``prefix[i] = v[0] + v[1] r + ... + v[i-1] r**(i-1)`` the hash of any span is
 ``(prefix[end] - prefix[start]) * r**-start``, so it does not depend on where the span stands.
 """
@@ -16,8 +16,8 @@ from lodestat.session import ship_by_value
 
 ship_by_value(__name__)
 
-PIECE = 1 << 21
-STRIP = 1 << 21
+PIECE = 1 << 18
+STRIP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LENGTH = 0xA24BAED4963EE407

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestat.session import materialized
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the jobs that write tables: shuffle files go with their job, and Python gets texts in small batches.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -17,12 +21,17 @@ def stored(df: DataFrame) -> DataFrame:
     steps needs the disk of its largest step and not of all of them.
     """
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {name: spark.conf.get(name, None) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         return materialized(df)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def doc_key(column: str = "doc_id"):
