@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -17,7 +20,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor,
-    IsotonicRegression,
     LinearRegression,
     RandomForestRegressor,
 )
@@ -25,13 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.operators.frequencies import long_numbers, present
+from lodestat.operators.isotonic import isotonic_blocks, isotonic_predict
 from lodestat.operators.metrics import classification_metrics, regression_metrics
+from lodestat.operators.prepare import table_fingerprint
 from lodestat.operators.protocol import assign_folds
 from lodestat.operators.ranks import quantiles
 from lodestat.session import materialized
 
 MISSING_CATEGORY = "inconnu"  # fixed value
 MAX_NEW_CATEGORIES = 10_000
+AT_ONCE = 4  # fits of a search that run side by side
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
 
@@ -180,6 +185,8 @@ class Family:
     numeric: tuple[str, ...]
     ordinal: Mapping[str, Sequence[str]] = field(default_factory=dict)
     nominal: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    #: Of a linear family: ``c`` of ``logistic`` or ``alpha`` of ``ridge``. Many such fits are solved at once.
+    penalty: float | None = None
 
     def fit(self, df: DataFrame, target: str, weight: str | None = None) -> FittedModel:
         prep = Preprocessor(
@@ -210,8 +217,13 @@ class Family:
             tuple(c for c in self.numeric if c in kept),
             {c: v for c, v in self.ordinal.items() if c in kept},
             {c: v for c, v in self.nominal.items() if c in kept},
+            self.penalty,
         )
 
+    @property
+    def roles(self) -> tuple:
+        return self.numeric, dict(self.ordinal), dict(self.nominal), self.scale, self.classifier
+
     @property
     def features(self) -> list[str]:
         return [*self.numeric, *self.ordinal, *self.nominal]
@@ -242,7 +254,7 @@ def forest(
     """Random forest of ``trees`` trees: their depth, least rows of a leaf and features tried at a split."""
     return lambda n, sd: RandomForestClassifier(
         featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
-        featureSubsetStrategy=subset, seed=seed,
+        featureSubsetStrategy=subset, seed=seed, maxMemoryInMB=1024,
     )
 
 
@@ -252,7 +264,7 @@ def build_classifiers(roles: Mapping, seed: int = 0, trees: int = 100) -> dict[s
         featuresCol=FEATURES, labelCol=LABEL, maxIter=trees, maxDepth=6, stepSize=0.3, seed=seed
     )
     return {
-        "logreg": Family("logreg", logistic(), True, True, **roles),
+        "logreg": Family("logreg", logistic(), True, True, **roles, penalty=1.0),
         "random_forest": Family("random_forest", forest(trees, seed=seed), False, True, **roles),
         "boosting": Family("boosting", boosted, False, True, **roles),
     }
@@ -267,7 +279,7 @@ def build_regressors(roles: Mapping, seed: int = 0, trees: int = 100) -> dict[st
         featuresCol=FEATURES, labelCol=LABEL, maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed
     )
     return {
-        "ridge": Family("ridge", ridge(), True, False, **roles),
+        "ridge": Family("ridge", ridge(), True, False, **roles, penalty=1.0),
         "random_forest": Family("random_forest", forest, False, False, **roles),
         "gradient_boosting": Family("gradient_boosting", boosted, False, False, **roles),
     }
@@ -288,6 +300,19 @@ def out_of_fold(
     return materialized(reduce(DataFrame.unionByName, parts))
 
 
+def _out_of_fold(df: DataFrame, family: Family, target: str, n_splits: int) -> DataFrame:
+    """``out_of_fold``, with the mean of the label for a family without features."""
+    if family.features:
+        return out_of_fold(df, family, target, n_splits)
+    sums = df.groupBy("fold").agg(F.sum(F.col(target).cast("double")).alias("s"), F.count(target).alias("n")).collect()
+    n, total = sum(r["n"] for r in sums), sum(r["s"] or 0.0 for r in sums)
+    means = [
+        v for r in sums if r["fold"] is not None
+        for v in (F.lit(r["fold"]), F.lit((total - (r["s"] or 0.0)) / (n - r["n"]) if n > r["n"] else None).cast("double"))
+    ]
+    return df.where(F.col("fold").isNotNull()).withColumn("p", F.create_map(*means)[F.col("fold")] if means else F.lit(None).cast("double"))
+
+
 def _metrics(family: Family):
     return classification_metrics if family.classifier else regression_metrics
 
@@ -303,12 +328,18 @@ def fold_dispersion(scores: DataFrame, metric: str) -> DataFrame:
 
 
 def train_vs_oof(df: DataFrame, family: Family, target: str, n_splits: int = 5) -> DataFrame:
-    """One row: AUC on the training rows against out-of-fold AUC."""
-    inside = family.fit(df, target).predict(df)
-    outside = out_of_fold(df, family, target, n_splits)
-    both = inside.withColumn("_jeu", F.lit("train")).unionByName(
-        outside.withColumn("_jeu", F.lit("oof"))
-    )
+    """One row: AUC on the training rows against out-of-fold AUC. A linear family is fitted in one go."""
+    if family.penalty is not None:
+        from lodestat.operators import linear
+
+        fits = [linear.Fit("train", (), family.penalty), *linear.by_fold("oof", n_splits, c=family.penalty)]
+        both = linear.out_of_fold_many(df, family, target, fits).withColumnRenamed("nom", "_jeu")
+    else:
+        inside = family.fit(df, target).predict(df)
+        outside = out_of_fold(df, family, target, n_splits)
+        both = inside.withColumn("_jeu", F.lit("train")).unionByName(
+            outside.withColumn("_jeu", F.lit("oof"))
+        )
     scores = classification_metrics(both, target, "p", ["_jeu"])
     return scores.agg(
         F.max(F.when(F.col("_jeu") == "train", F.col("roc_auc"))).alias("train_roc_auc"),
@@ -336,17 +367,31 @@ def ablate(
     n_splits: int = 5,
     postprocess: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """(scenario, n_features, metrics, deltas to the full set), measured out of fold."""
-    parts = []
-    for name, kept in ablation_scenarios(family.features, blocks).items():
-        scored = out_of_fold(df, family.restricted(kept), target, n_splits)
-        if postprocess:
-            scored = scored.withColumn("p", postprocess(F.col("p")))
-        parts.append(
-            scored.select(
-                F.lit(name).alias("scenario"), F.lit(len(kept)).alias("n_features"), target, "p"
+    """(scenario, n_features, metrics, deltas to the full set), measured out of fold.
+
+    A scenario without features predicts the mean of the label over the rows learnt from. All scenarios of a linear
+    family are fitted in one go.
+    """
+    scenarios = ablation_scenarios(family.features, blocks)
+    if family.penalty is not None:
+        from lodestat.operators import linear
+
+        fits = [
+            f for name, kept in scenarios.items()
+            for f in linear.by_fold(name, n_splits, c=family.penalty, features=tuple(kept))
+        ]
+        scored = linear.out_of_fold_many(df, family, target, fits)
+        sizes = F.create_map(*[F.lit(v) for name, kept in scenarios.items() for v in (name, len(kept))])
+        parts = [scored.select(F.col("nom").alias("scenario"), sizes[F.col("nom")].alias("n_features"), target, "p")]
+    else:
+        parts = []
+        for name, kept in scenarios.items():
+            scored = _out_of_fold(df, family.restricted(kept), target, n_splits)
+            parts.append(
+                scored.select(F.lit(name).alias("scenario"), F.lit(len(kept)).alias("n_features"), target, "p")
             )
-        )
+    if postprocess:
+        parts = [part.withColumn("p", postprocess(F.col("p"))) for part in parts]
     scores = _metrics(family)(
         reduce(DataFrame.unionByName, parts), target, "p", ["scenario", "n_features"]
     )
@@ -371,23 +416,93 @@ def search(
     metric: str = "roc_auc",
     n_splits: int = 5,
 ) -> DataFrame:
-    """(essai, parametres, score): mean of the metric over folds, best first."""
+    """(essai, parametres, score): mean of the metric over folds, best first.
+
+    Linear families of the same features are fitted all at once. Others are fitted ``AT_ONCE`` at a time, on rows
+    that each fold prepares and writes once.
+    """
+    families = [build(params) for params in candidates]
+    if not families:
+        raise ValueError("a search needs candidates")
+    texts = [_parameters(params) for params in candidates]
+    first = families[0]
+    if all(f.penalty is not None and f.roles == first.roles for f in families):
+        from lodestat.operators import linear
+
+        fits = [fit for i, f in enumerate(families) for fit in linear.by_fold(str(i), n_splits, c=f.penalty)]
+        scored = linear.out_of_fold_many(df, first, target, fits, ["fold"]).withColumn("essai", F.col("nom").cast("int"))
+    elif all(f.roles == first.roles for f in families):
+        scored = _searched(df, families, target, n_splits)
+    else:
+        parts = [out_of_fold(df, f, target, n_splits).select(F.lit(i).alias("essai"), "fold", target, "p") for i, f in enumerate(families)]
+        scored = reduce(DataFrame.unionByName, parts)
+    per_fold = _metrics(first)(scored, target, "p", ["essai", "fold"])
+    best_first = F.desc("score") if first.classifier else F.asc("score")
+    named = F.array(*map(F.lit, texts))
+    return (
+        per_fold.groupBy("essai").agg(F.avg(metric).alias("score"))
+        .select("essai", named[F.col("essai")].alias("parametres"), "score")
+        .orderBy(best_first, "essai")
+    )
+
+
+def _parameters(params: Mapping) -> str:
+    return ", ".join(f"{k}={v}" for k, v in params.items())
+
+
+def _searched(df: DataFrame, families: Sequence[Family], target: str, n_splits: int) -> DataFrame:
+    """(essai, fold, target, p) of families that differ in their estimators only."""
     parts = []
-    family = None
-    for i, params in enumerate(candidates):
-        family = build(params)
-        scored = out_of_fold(df, family, target, n_splits)
-        text = ", ".join(f"{k}={v}" for k, v in params.items())
-        parts.append(
-            scored.select(F.lit(i).alias("essai"), F.lit(text).alias("parametres"), "fold", target, "p")
+    for k in range(n_splits):
+        first = families[0]
+        inside = df.where(F.col("fold") != k)
+        prep = Preprocessor(
+            list(first.numeric), {c: list(v) for c, v in first.ordinal.items()}, {c: list(v) for c, v in first.nominal.items()}, first.scale
+        ).fit(inside)
+        learnt, held = (
+            materialized(prep.transform(part).select(FEATURES, F.col(target).cast("double").alias(LABEL), "fold", target))
+            for part in (inside, df.where(F.col("fold") == k))
         )
-    per_fold = _metrics(family)(
-        reduce(DataFrame.unionByName, parts), target, "p", ["essai", "parametres", "fold"]
-    )
-    best_first = F.desc("score") if family.classifier else F.asc("score")
-    return per_fold.groupBy("essai", "parametres").agg(F.avg(metric).alias("score")).orderBy(
-        best_first, "essai"
-    )
+        learnt = learnt.where(F.col(LABEL).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        rows, deviation = learnt.agg(F.count(F.lit(1)), F.stddev_pop(LABEL)).first()
+
+        def one(job, learnt=learnt, held=held, rows=rows, deviation=deviation):
+            i, family = job
+            model = family.estimator(rows, deviation).fit(learnt)
+            value = vector_to_array(F.col("probability"))[1] if family.classifier else F.col("prediction")
+            return materialized(model.transform(held).select(F.lit(i).alias("essai"), "fold", target, value.alias("p")))
+
+        with ThreadPool(AT_ONCE) as pool:
+            parts += pool.map(inheritable_thread_target(df.sparkSession)(one), list(enumerate(families)))
+        learnt.unpersist()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def refit(df: DataFrame, build: Callable[[dict], Family], candidates: Sequence[dict], found: DataFrame, target: str) -> FittedModel:
+    """The best candidate of a search, fitted to all rows."""
+    best = found.first()  # best first
+    return build(candidates[best["essai"]]).fit(df, target)
+
+
+def cached_search(
+    folder: str, name: str, df: DataFrame, compute: Callable[[], DataFrame], use_cache: bool = True
+) -> DataFrame:
+    """The result of ``compute`` for these rows, kept as a table under ``folder``.
+
+    The table is found again by ``name`` and by the fingerprint of the rows, whatever their order, so other rows or
+    another name never get it. With ``use_cache`` a table that is there is read and nothing is computed; otherwise
+    it is computed and written anew. A table counts only once it is whole: one that a lost job left half written is
+    computed again.
+    """
+    spark = df.sparkSession
+    row = table_fingerprint(df).first()
+    text = "\x1f".join([name, *df.columns, *map(str, row)])
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(text.encode()).hexdigest()}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if use_cache and done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return spark.read.parquet(path)
+    compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def grid(space: Mapping[str, Sequence]) -> list[dict]:
@@ -416,10 +531,20 @@ def with_class_weight(df: DataFrame, target: str, name: str = "poids") -> DataFr
 
 def compare_weighting(df: DataFrame, family: Family, target: str, n_splits: int = 5) -> DataFrame:
     """(ponderation, metrics): out-of-fold metrics without and with balanced weights."""
+    weighted = with_class_weight(df, target)
+    if family.penalty is not None and family.classifier:
+        from lodestat.operators import linear
+
+        fits = [
+            f for name, use in (("aucune", False), ("equilibree", True))
+            for f in linear.by_fold(name, n_splits, c=family.penalty, weighted=use)
+        ]
+        both = linear.out_of_fold_many(weighted, family, target, fits, weight="poids")
+        return classification_metrics(both.withColumnRenamed("nom", "ponderation"), target, "p", ["ponderation"])
     plain = out_of_fold(df, family, target, n_splits).select(
         F.lit("aucune").alias("ponderation"), target, "p"
     )
-    balanced = out_of_fold(with_class_weight(df, target), family, target, n_splits, "poids").select(
+    balanced = out_of_fold(weighted, family, target, n_splits, "poids").select(
         F.lit("equilibree").alias("ponderation"), target, "p"
     )
     return classification_metrics(plain.unionByName(balanced), target, "p", ["ponderation"])
@@ -438,37 +563,69 @@ def isotonic_recalibration(
 
     For each outer fold the other rows are dealt into ``inner_splits`` folds of their own. A model of all but one
     inner fold is calibrated on that one, and the mean of the calibrated models scores the outer fold. ``df``
-    carries ``fold``; ``key`` identifies its rows.
+    carries ``fold``; ``key`` identifies its rows. The models of a linear family are fitted in one go.
     """
-    parts = []
+    rows = df
     for k in range(n_splits):
-        inside = materialized(
-            assign_folds(df.where(F.col("fold") != k).drop("fold"), key, inner_splits, seed + 1 + k, target)
-        )
-        scored = family.fit(inside, target).predict(df.where(F.col("fold") == k), "_brute")
-        columns = [f"_c{j}" for j in range(inner_splits)]
-        for j, column in enumerate(columns):
-            fitted = family.fit(inside.where(F.col("fold") != j), target)
-            held = fitted.predict(inside.where(F.col("fold") == j), "p")
-            calibrator = IsotonicRegression(featuresCol="p", labelCol=LABEL).fit(
-                held.select("p", F.col(target).cast("double").alias(LABEL)).where(F.col(LABEL).isNotNull())
-            )
-            calibrated = calibrator.transform(fitted.predict(scored, "p"))
-            scored = calibrated.withColumnRenamed("prediction", column).drop("p")
-        mean = reduce(lambda a, b: a + b, [F.col(c) for c in columns]) / inner_splits
-        parts.append(scored.select(target, F.col("_brute").alias("p"), mean.alias("prediction")))
-    scored = materialized(reduce(DataFrame.unionByName, parts))
-    versions = F.explode(
-        F.array(
-            F.struct(F.lit("brute").alias("version"), F.col("p").alias("q")),
-            F.struct(F.lit("isotonique").alias("version"), F.col("prediction").alias("q")),
-        )
-    )
-    long = scored.select(target, versions.alias("_v")).select(target, "_v.*")
+        inside = assign_folds(df.where(F.col("fold") != k).drop("fold"), key, inner_splits, seed + 1 + k, target)
+        inner = inside.select(*key, F.col("fold").alias(f"_pli{k}"))
+        rows = rows.join(inner, list(key), "left")
+    rows = materialized(rows)
+    scored = (_inner_linear if family.penalty is not None else _inner_fits)(rows, family, target, n_splits, inner_splits, list(key))
+    names = ["_externe", "_interne"]
+    blocks = isotonic_blocks(scored.where("_calibre"), "p", target, names)
+    outside = isotonic_predict(scored.where("NOT _calibre AND _interne >= 0"), "p", blocks, names)
+    raw = scored.where("_interne < 0").select(*key, target, F.lit("brute").alias("version"), F.col("p").alias("q"))
+    calibrated = outside.groupBy(*key, target).agg(F.avg("prediction").alias("q"))
+    long = raw.unionByName(calibrated.withColumn("version", F.lit("isotonique")))
     error = F.col("q") - F.col(target)
     return long.groupBy("version").agg(F.avg(error * error).alias("brier"))
 
 
+def _inner_linear(rows, family: Family, target: str, n_splits: int, inner_splits: int, key: list[str]) -> DataFrame:
+    """key, target, p, the outer and inner fold (-1: the model of all inner folds) and whether the row calibrates."""
+    from lodestat.operators import linear
+
+    fits = linear.by_fold("-1", n_splits, c=family.penalty)
+    for k in range(n_splits):
+        fits += [
+            linear.Fit(str(j), (("fold", k), (f"_pli{k}", j)), family.penalty, on=(("fold", k),)) for j in range(inner_splits)
+        ]
+    encoded = linear.encode(rows, family, target, ["fold", *[f"_pli{k}" for k in range(n_splits)]], [*key, target])
+    solved = (linear.logistic_fits if family.classifier else linear.ridge_fits)(encoded, fits)
+    asked = []
+    for fit, solution in zip(fits, solved):
+        k = fit.held[0][1]
+        asked.append((replace(fit, name=f"{k} {fit.name} 0"), solution))
+        if len(fit.held) > 1:
+            asked.append((replace(fit, name=f"{k} {fit.name} 1", on=fit.held[1:]), solution))
+    scored = linear.scores(encoded, *zip(*asked), family.classifier)
+    part = F.split("nom", " ")
+    return materialized(
+        scored.select(
+            *key, target, "p", part[0].cast("int").alias("_externe"), part[1].cast("int").alias("_interne"), (part[2] == "1").alias("_calibre")
+        )
+    )
+
+
+def _inner_fits(rows, family: Family, target: str, n_splits: int, inner_splits: int, key: list[str]) -> DataFrame:
+    """``_inner_linear`` for any family, one fit after another."""
+    parts = []
+
+    def keep(scored: DataFrame, k: int, j: int, calibrates: bool) -> None:
+        place = [F.lit(k).alias("_externe"), F.lit(j).alias("_interne"), F.lit(calibrates).alias("_calibre")]
+        parts.append(scored.select(*key, target, "p", *place))
+
+    for k in range(n_splits):
+        inside, outside, inner = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k), F.col(f"_pli{k}")
+        keep(family.fit(inside, target).predict(outside), k, -1, False)
+        for j in range(inner_splits):
+            fitted = family.fit(inside.where(inner != j), target)
+            keep(fitted.predict(outside), k, j, False)
+            keep(fitted.predict(inside.where(inner == j)), k, j, True)
+    return materialized(reduce(DataFrame.unionByName, parts))
+
+
 def metrics_panel(
     configurations: DataFrame, retained: Sequence[str], tolerance: float = 1e-3
 ) -> DataFrame:

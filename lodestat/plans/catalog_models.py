@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.operators import contract as C
-from lodestat.operators import drift, metrics, modeling, protocol, scoring
+from lodestat.operators import drift, isotonic, linear, metrics, modeling, protocol, scoring
 from lodestat.plans.registry import (
+    SQL_HOLES,
     SQL_SCORED,
     SQL_SIDES,
     R,
+    holes,
     register,
     scored,
     scratch,
@@ -656,7 +658,51 @@ _ROLES = {"numeric": ("n_chars", "espaces"), "nominal": {"lang": ["de", "en", "e
 
 
 def _logreg(c: float = 1.0) -> modeling.Family:
-    return modeling.Family("logreg", modeling.logistic(c), True, True, **_ROLES)
+    return modeling.Family("logreg", modeling.logistic(c), True, True, **_ROLES, penalty=c)
+
+
+_SQL_RIDGE = (
+    f"WITH {SQL_HOLES}, f AS (SELECT k, l_orderkey % 5 AS fold, q, d, p / 1000 AS p FROM holes, range(5) AS r(k)), "
+    "m AS (SELECT k, quantile_cont(q, 0.5) AS mq, quantile_cont(d, 0.5) AS md FROM f WHERE fold <> k GROUP BY k), "
+    "z AS (SELECT k, fold, coalesce(q, mq) AS q, coalesce(d, md) AS d, p FROM f JOIN m USING (k)), "
+    "s AS (SELECT k, avg(q) AS aq, stddev_pop(q) AS sq, avg(d) AS ad, stddev_pop(d) AS sd FROM z WHERE fold <> k GROUP BY k), "
+    "y AS (SELECT k, fold, (q - aq) / sq AS a, (d - ad) / sd AS b, p FROM z JOIN s USING (k)), "
+    "g AS (SELECT k, avg(a) AS ma, avg(b) AS mb, avg(p) AS mp, count(*) * var_pop(a) + 1 AS aa, count(*) * var_pop(b) + 1 AS bb, "
+    "count(*) * covar_pop(a, b) AS ab, count(*) * covar_pop(a, p) AS ap, count(*) * covar_pop(b, p) AS bp "
+    "FROM y WHERE fold <> k AND p IS NOT NULL GROUP BY k), "
+    "c AS (SELECT *, (ap * bb - bp * ab) / (aa * bb - ab * ab) AS ca, (bp * aa - ap * ab) / (aa * bb - ab * ab) AS cb FROM g), "
+    "o AS (SELECT k, p, mp + ca * (a - ma) + cb * (b - mb) AS v FROM y JOIN c USING (k) WHERE fold = k) "
+    f"SELECT CAST(k AS INTEGER) AS fold, {R('avg(abs(v - p))')} AS mae, {R('sqrt(avg((v - p) * (v - p)))')} AS rmse, "
+    f"{R('1 - avg((v - p) * (v - p)) / var_pop(p)')} AS r2 FROM o GROUP BY k"
+)
+
+
+@register("ridge_fold_scores", _SQL_RIDGE)
+def _(spark, folder):
+    """Out-of-fold errors of ridge models of all folds, from one pass of moments."""
+    rows = holes(spark, folder).withColumns(
+        {"fold": (F.col("l_orderkey") % 5).cast("int"), "p": F.col("p") / 1000}
+    )
+    family = modeling.Family("ridge", modeling.ridge(), True, False, ("q", "d"), penalty=1.0)
+    found = linear.out_of_fold_many(rows, family, "p", linear.by_fold("ridge", 5), ["fold"], target_name="cible")
+    return metrics.regression_metrics(found.where("cible IS NOT NULL"), "cible", "p", ["fold"])
+
+
+@register(
+    "isotonic_fit",
+    f"WITH {SQL_SCORED}, d AS (SELECT o_orderpriority AS g, p AS s, count(*) AS w, sum(y) AS t FROM scored GROUP BY ALL), "
+    "c AS (SELECT g, s, w, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(t) OVER o AS ct FROM d WINDOW o AS (PARTITION BY g ORDER BY s)), "
+    "b AS (SELECT g, i, cw - w AS cw, ct - (SELECT t FROM d WHERE d.g = c.g AND d.s = c.s) AS ct FROM c), "
+    "low AS (SELECT x.g, x.i, b.i AS j, min((e.ct - b.ct) / (e.cw - b.cw)) AS v FROM c AS x JOIN b ON b.g = x.g AND b.i <= x.i "
+    "JOIN c AS e ON e.g = x.g AND e.i >= x.i GROUP BY ALL) "
+    f"SELECT c.g AS o_orderpriority, {R('c.s')} AS p, {R('max(v)')} AS prediction FROM low JOIN c USING (g, i) GROUP BY c.g, c.s",
+)
+def _(spark, folder):
+    """The rising fit of the label on the score in each group, at every score."""
+    rows = scored(spark, folder)
+    blocks = isotonic.isotonic_blocks(rows, "p", "y", ["o_orderpriority"], bucket_rows=40)
+    found = isotonic.isotonic_predict(rows.select("o_orderpriority", "p").distinct(), "p", blocks, ["o_orderpriority"])
+    return found
 
 
 @register(
