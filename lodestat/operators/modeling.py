@@ -36,7 +36,7 @@ from lodestat.session import materialized
 
 MISSING_CATEGORY = "inconnu"  # fixed value
 MAX_NEW_CATEGORIES = 10_000
-AT_ONCE = 4  # fits of a search that run side by side
+AT_ONCE = 8  # fits of a search that run side by side
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
 

@@ -130,14 +130,25 @@ def _(spark, folder):
     silver = prepare.transform(raw, {})
     layers.write_layers(spark, source, silver, prepare.build_gold(silver, ["annee"], {}), root)
     parts = [
-        spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("couche"))
-        for name in ("bronze", "silver", "gold")
+        spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("couche"), lines.cast("bigint").alias("k"))
+        for name, lines in (("bronze", F.col("lignes")), ("silver", F.lit(1)), ("gold", F.lit(1)))
     ]
-    return (
-        parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("couche").agg(
-            F.count(F.lit(1)).alias("n")
-        )
-    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("couche").agg(F.sum("k").alias("n"))
+
+
+@register(
+    "received_bytes",
+    f"WITH {SQL_MESSY}, l AS (SELECT concat_ws(';', filiere, distance, commentaire) AS l FROM messy) "
+    "SELECT count(*) AS lignes, CAST(sum(octet_length(encode(l)) + 1) AS BIGINT) AS octets, CAST(0 AS BIGINT) AS abimees FROM l",
+)
+def _(spark, folder):
+    """Lines and bytes of the ranges of files as they were received, and ranges without their checksum."""
+    source, root = scratch(spark), scratch(spark)
+    messy(spark, folder).select(F.concat_ws(";", "filiere", "distance", "commentaire").alias("l")).write.text(source)
+    layers.received_ranges(spark, source, 1 << 16).write.parquet(root)
+    ranges = spark.read.parquet(root)
+    damaged = layers.damaged_ranges(ranges).count()
+    return ranges.agg(F.sum("lignes").alias("lignes"), F.sum("octets").alias("octets"), F.lit(damaged).cast("bigint").alias("abimees"))
 
 
 @register(
@@ -181,6 +192,20 @@ def _(spark, folder):
     return layers.history(spark, root).select("run", "lignes", F.col("version").cast("string"))
 
 
+@register(
+    "rollback_run",
+    "SELECT '20260101T000000_v1.0' AS run, CAST((SELECT count(*) FROM orders) AS DOUBLE) AS lignes",
+)
+def _(spark, folder):
+    """The current run after a second one was archived and taken back."""
+    root, orders = scratch(spark), table(spark, folder, "orders").count()
+    items = table(spark, folder, "lineitem").count()
+    for stamp, version, rows in (("20260101T000000", "1.0", orders), ("20260102T000000", "1.1", items)):
+        layers.archive_run(layers.run_record(spark, {"version": version, "lignes": rows}), root, stamp, version)
+    layers.rollback(spark, root)
+    return layers.current_run(spark, root).select("run", "lignes")
+
+
 # --- scalar functions -------------------------------------------------------------------------
 
 
