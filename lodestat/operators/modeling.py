@@ -651,3 +651,52 @@ def frugal_choice(configurations: DataFrame, epsilon: float = 0.03) -> DataFrame
     return near.agg(
         F.min_by("configuration", F.struct("cout", "mesure")).alias("configuration")
     )
+
+
+def score_panel(
+    scores: DataFrame,
+    target: str,
+    stored: DataFrame,
+    metric: str,
+    retained: Sequence[str] = (),
+    classifier: bool = True,
+    tolerance: float = 1e-3,
+    configuration: str = "configuration",
+    fold: str = "fold",
+) -> DataFrame:
+    """One row per configuration, from its written out-of-fold scores ``p``: every metric as the mean and deviation
+    over folds and over all rows together, ``metric`` against the value kept in ``stored`` (configuration, stockee),
+    and the status of the configuration.
+
+    Each row counts in its fold and in the whole, so one pass over the distinct scores gives both. A row without
+    score or label is left out; a configuration without kept value has NULL in ``stockee`` and ``conforme``.
+    """
+    rows = scores.where(F.col(target).isNotNull() & F.col("p").isNotNull())
+    both = rows.select(
+        F.col(configuration).alias("configuration"),
+        F.explode(F.array(F.coalesce(F.col(fold).cast("int"), F.lit(-1)), F.lit(None).cast("int"))).alias("_pli"),
+        F.col(target).alias("_y"),
+        "p",
+    ).withColumn("_ensemble", F.col("_pli").isNull())
+    measure = classification_metrics if classifier else regression_metrics
+    found = measure(both.withColumn("_pli", F.coalesce("_pli", F.lit(-2))), "_y", "p", ["configuration", "_pli", "_ensemble"])
+    names = [c for c in found.columns if c not in ("configuration", "_pli", "_ensemble")]
+    inside = lambda m: F.when(~F.col("_ensemble"), F.col(m))
+    panel = found.groupBy("configuration").agg(
+        F.count_if(~F.col("_ensemble")).alias("n_plis"),
+        *[F.avg(inside(m)).alias(f"moyenne_{m}") for m in names],
+        *[F.stddev_pop(inside(m)).alias(f"ecart_{m}") for m in names],
+        *[F.max(F.when(F.col("_ensemble"), F.col(m))).alias(m) for m in names],
+    )
+    kept = stored.select("configuration", F.col("stockee").cast("double").alias("stockee"))
+    joined = materialized(panel.join(kept, "configuration", "left"))
+    higher = classifier and metric != "brier" or metric == "r2"
+    best = joined.agg((F.max if higher else F.min)(metric)).scalar()
+    return joined.withColumns(
+        {
+            "conforme": F.abs(F.col(metric) - F.col("stockee")) <= tolerance,
+            "statut": F.when(F.col("configuration").isin(*retained), "retenue")
+            .when(F.col(metric) == best, "meilleure")
+            .otherwise("écartée"),
+        }
+    )

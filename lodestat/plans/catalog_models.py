@@ -827,6 +827,25 @@ def _(spark, folder):
     )
 
 
+@register(
+    "search_kept",
+    "SELECT 'C' AS nom, CAST(3 AS BIGINT) AS essais, CAST(1 AS BIGINT) AS calculs, TRUE AS pareils, CAST(count(*) AS BIGINT) AS lignes "
+    "FROM documents JOIN labels USING (doc_id)",
+)
+def _(spark, folder):
+    """A search asked for twice over the same rows: the second time its kept table is read and nothing is fitted."""
+    rows, store, calls = _documents(spark, folder), scratch(spark), []
+
+    def compute():
+        calls.append(1)
+        return modeling.search(rows, lambda params: _logreg(params["C"]), modeling.grid({"C": [0.1, 1.0, 10.0]}), "quality", n_splits=_FOLDS)
+
+    first, second = (modeling.cached_search(store, "C", rows, compute) for _ in range(2))
+    same = not first.exceptAll(second).count() and not second.exceptAll(first).count()
+    facts = [("C", second.count(), len(calls), same, rows.count())]
+    return spark.createDataFrame(facts, "nom string, essais bigint, calculs bigint, pareils boolean, lignes bigint")
+
+
 @register("class_weighting_metrics")
 def _(spark, folder):
     return modeling.compare_weighting(_documents(spark, folder), _logreg(), "quality", _FOLDS)
@@ -860,6 +879,43 @@ def _(spark, folder):
     return modeling.metrics_panel(found.withColumn("stockee", stored), ["5-LOW"])
 
 
+_SQL_CONFIGURATIONS = (
+    f"WITH {SQL_SCORED}, s AS (SELECT c AS configuration, CAST(o_orderkey % 5 AS INTEGER) AS fold, y, "
+    "CASE c WHEN 'a' THEN p WHEN 'b' THEN p * p ELSE 1 - p / 2 END AS p FROM scored, (VALUES ('a'), ('b'), ('c')) AS t(c)), "
+    "k AS (SELECT configuration, fold, FALSE AS tout, y, p FROM s UNION ALL SELECT configuration, -2, TRUE, y, p FROM s), "
+    "r AS (SELECT *, rank() OVER g + (count(*) OVER (PARTITION BY configuration, fold, p) - 1) / 2.0 AS rang "
+    "FROM k WINDOW g AS (PARTITION BY configuration, fold ORDER BY p)), "
+    "m AS (SELECT configuration, fold, tout, avg((p - y) * (p - y)) AS brier, "
+    "(sum(rang) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) "
+    "/ (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc FROM r GROUP BY ALL), "
+    "c AS (SELECT configuration, count(*) FILTER (NOT tout) AS n_plis, avg(auc) FILTER (NOT tout) AS moyenne_roc_auc, "
+    "stddev_pop(auc) FILTER (NOT tout) AS ecart_roc_auc, avg(brier) FILTER (NOT tout) AS moyenne_brier, "
+    "stddev_pop(brier) FILTER (NOT tout) AS ecart_brier, max(auc) FILTER (tout) AS roc_auc, max(brier) FILTER (tout) AS brier FROM m GROUP BY 1) "
+    f"SELECT configuration, n_plis, {R('moyenne_roc_auc')} AS moyenne_roc_auc, {R('ecart_roc_auc')} AS ecart_roc_auc, "
+    f"{R('moyenne_brier')} AS moyenne_brier, {R('ecart_brier')} AS ecart_brier, {R('roc_auc')} AS roc_auc, {R('brier')} AS brier, "
+    "CASE WHEN configuration = 'c' THEN NULL ELSE configuration = 'a' END AS conforme, "
+    "CASE WHEN configuration = 'b' THEN 'retenue' WHEN brier = (SELECT min(brier) FROM c) THEN 'meilleure' ELSE 'écartée' END AS statut FROM c"
+)
+
+
+@register("score_panel", _SQL_CONFIGURATIONS)
+def _(spark, folder):
+    """Configurations by their written scores, against the value kept when they were written; one of these is wrong,
+    one is missing."""
+    p = {"a": F.col("p"), "b": F.col("p") * F.col("p"), "c": 1 - F.col("p") / 2}
+    names = F.explode(F.array(*map(F.lit, p))).alias("configuration")
+    rows = scored(spark, folder).select("y", "p", (F.col("o_orderkey") % 5).cast("int").alias("fold"), names)
+    value = F.when(F.col("configuration") == "a", p["a"]).when(F.col("configuration") == "b", p["b"]).otherwise(p["c"])
+    path = scratch(spark)
+    rows.withColumn("p", value).write.parquet(path)
+    scores = spark.read.parquet(path)
+    kept = metrics.brier(scores.where("configuration <> 'c'"), "y", "p", ["configuration"]).withColumn(
+        "stockee", F.col("brier") + F.when(F.col("configuration") == "b", 0.01).otherwise(0.0)
+    )
+    found = modeling.score_panel(scores, "y", kept, "brier", ["b"])
+    return found.drop("stockee", *[c for c in found.columns if "pr_auc" in c])
+
+
 @register(
     "frugal_choice",
     _SQL_PANEL + " SELECT arg_min(configuration, (cout, mesure)) AS configuration FROM c WHERE mesure <= (SELECT min(mesure) FROM c) + 0.03",
