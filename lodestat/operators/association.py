@@ -11,7 +11,8 @@ from lodestat.functions.text import as_modality
 from lodestat.operators.explore import missing_counts
 from lodestat.operators.frequencies import is_numeric, present
 from lodestat.operators.noise import permutation_test
-from lodestat.operators.ranks import average_ranks
+from lodestat.operators.ranks import running_totals
+from lodestat.session import materialized
 
 Pair = tuple[str, str]
 PAIR = ["variable_1", "variable_2"]
@@ -163,89 +164,79 @@ def correlation_pairs_all(
 ) -> DataFrame:
     """(variable_1, variable_2, valeur) over rows where both are present; NULL if undefined.
 
-    Spearman ranks are those of the rows the pair keeps. Ranks of a column are shared by all its
-    partners that have no hole.
+    Spearman ranks are those of the rows the pair keeps. Pairs are formed inside a row and summed up before
+    anything is shuffled, so what moves is rows by columns and never rows by pairs.
     """
-    pairs = upper_pairs(columns)
-
-    def both(a: str, b: str) -> list[Column]:
-        return [
-            present(df, a).cast("double").alias("x"),
-            present(df, b).cast("double").alias("y"),
-        ]
-
     if method == "pearson":
-        rows = _per_pair(df, pairs, both).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        rows = _per_pair(
+            df,
+            upper_pairs(columns),
+            lambda a, b: [present(df, a).cast("double").alias("x"), present(df, b).cast("double").alias("y")],
+        ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
         return rows.groupBy(*PAIR).agg(F.corr("x", "y").alias("valeur"))
 
-    full = {r["colonne"] for r in missing_counts(df, columns).collect() if r["n_manquants"] == 0}
-
-    def partner(name: str) -> str:
-        return "" if name in full else name
-
-    cells = (
-        _per_pair(
-            df,
-            pairs,
-            lambda a, b: [
-                *both(a, b),
-                F.lit(partner(b)).alias("avec_x"),
-                F.lit(partner(a)).alias("avec_y"),
-            ],
+    gaps = {r["colonne"]: r["n_manquants"] for r in missing_counts(df, columns).collect()}
+    holed = [c for c in columns if gaps[c] > 0]
+    x, y = F.col("_x"), F.col("_y")
+    # The ranks of a column are those of all its rows (place 0) and of the rows where a column with holes is present.
+    place = F.array(*[F.lit(holed.index(c) + 1 if c in holed else 0) for c in columns])
+    rx, ry = F.get(x["r"], F.get(place, y["i"])), F.get(y["r"], F.get(place, x["i"]))
+    ranked = _row_ranks(df, columns, holed)
+    sums = (
+        ranked.select("_rangs", F.explode("_rangs").alias("_x"))
+        .select("_x", F.explode(F.filter("_rangs", lambda other: other["i"] > x["i"])).alias("_y"))
+        .select(x["i"].alias("_i"), y["i"].alias("_j"), rx.alias("_rx"), ry.alias("_ry"))
+        .groupBy("_i", "_j")
+        .agg(
+            F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),
+            F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"),
+            F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"),
         )
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy(*PAIR, "avec_x", "avec_y", "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    contexts = sorted({c for a, b in pairs for c in ((a, partner(b)), (b, partner(a)))})
-    values = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(a).alias("variable"),
-                        F.lit(b).alias("avec"),
-                        (
-                            F.when(present(df, b).isNotNull(), present(df, a)) if b else present(df, a)
-                        ).cast("double").alias("valeur"),
-                    )
-                    for a, b in contexts
-                ]
-            )
-        ).alias("_v")
-    ).select("_v.*")
-    freq = (
-        values.where(F.col("valeur").isNotNull())
-        .groupBy("variable", "avec", "valeur")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
-    total = F.broadcast(freq.groupBy("variable", "avec").agg(F.sum("n").alias("_n")))
-    ranks = (
-        average_ranks(freq, ["variable", "avec"])
-        .join(total, ["variable", "avec"])
-        .select("variable", "avec", "valeur", (F.col("rang") - (F.col("_n") + 1) / 2).alias("ecart"))
+    names = F.array(*[F.lit(c) for c in columns])
+    spread = F.sqrt(F.col("_xx") * F.col("_yy"))
+    return sums.select(
+        F.get(names, F.col("_i")).alias("variable_1"),
+        F.get(names, F.col("_j")).alias("variable_2"),
+        F.when(spread > 0, F.col("_xy") / spread).alias("valeur"),
     )
 
-    def ranked(side: str, name: str) -> DataFrame:
-        return ranks.select(
-            F.col("variable").alias(name),
-            F.col("avec").alias(f"avec_{side}"),
-            F.col("valeur").alias(side),
-            F.col("ecart").alias(f"r{side}"),
-        )
 
-    sums = (
-        cells.join(ranked("x", "variable_1"), ["variable_1", "avec_x", "x"])
-        .join(ranked("y", "variable_2"), ["variable_2", "avec_y", "y"])
-        .groupBy(*PAIR)
-        .agg(
-            F.sum(F.col("n") * F.col("rx") * F.col("ry")).alias("_xy"),
-            F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("_xx"),
-            F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("_yy"),
+def _row_ranks(df: DataFrame, columns: Sequence[str], holed: Sequence[str]) -> DataFrame:
+    """(_rangs) of every row: per present column its place ``i`` in ``columns`` and its centred ranks ``r``.
+
+    ``r`` holds the rank among all rows of the column, then among those where each of ``holed`` is present.
+    """
+    numbers = {c: present(df, c).cast("double") for c in columns}
+    # Row numbers are written down once, so that a task that runs again finds the same ones.
+    rows = materialized(
+        df.select(
+            F.monotonically_increasing_id().alias("_ligne"),
+            F.array(*numbers.values()).alias("_valeurs"),
+            *[numbers[c].isNotNull().cast("long").alias(f"_n{k}") for k, c in enumerate(holed, 1)],
         )
     )
-    spread = F.sqrt(F.col("_xx") * F.col("_yy"))
-    return sums.select(*PAIR, F.when(spread > 0, F.col("_xy") / spread).alias("valeur"))
+    measures = [f"_n{k}" for k in range(len(holed) + 1)]
+    cells = rows.select(
+        "_ligne", F.lit(1).cast("long").alias("_n0"), *measures[1:], F.posexplode("_valeurs").alias("i", "valeur")
+    ).where("valeur IS NOT NULL")
+    freq = cells.groupBy("i", "valeur").agg(*[F.sum(m).alias(m) for m in measures])
+    totals = freq.groupBy("i").agg(*[F.sum(m).alias(f"_t{m}") for m in measures])
+    ranks = (
+        running_totals(freq, ["i"], "valeur", measures)
+        .join(F.broadcast(totals), "i")
+        .select(
+            "i",
+            "valeur",
+            F.array(*[F.col(f"avant_{m}") + (F.col(m) - F.col(f"_t{m}")) / 2 for m in measures]).alias("r"),
+        )
+    )
+    return (
+        cells.select("_ligne", "i", "valeur")
+        .join(ranks, ["i", "valeur"])
+        .groupBy("_ligne")
+        .agg(F.collect_list(F.struct("i", "r")).alias("_rangs"))
+    )
 
 
 def correlation_matrix(

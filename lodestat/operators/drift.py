@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.operators.frequencies import long_numbers, modality_frequencies
 from lodestat.operators.ranks import hash_positions, quantiles, running_totals, seeded_hash
+from lodestat.session import materialized
 
 # Fixed values.
 STABLE, WATCH, ALERT = "stable", "à surveiller", "alerte"
@@ -17,6 +19,7 @@ EPSILON = 1e-6
 WATCH_LEVEL, ALERT_LEVEL, MIN_ROWS = 0.1, 0.25, 200
 RECALL_MARGIN = 0.05
 _TERMS = 100  # of the Kolmogorov series; the terms vanish long before
+_TURNS, _WALK = 4, 80  # of the network that shuffles numbers: its rounds, and how often it may leave the range
 
 
 def _stability(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -236,29 +239,45 @@ def deidentified_reference(
 ) -> DataFrame:
     """Each column shuffled on its own: marginals intact, no row left of the original.
 
-    ``key`` identifies rows: the place of a value is that of the seeded hash of its row and
-    column, so the result does not depend on how the data are spread.
+    ``key`` identifies rows. They are numbered once, in the order of a seeded hash of the key, and each column
+    moves its values by a keyed permutation of these numbers, so the result does not depend on how the data
+    are spread. A column travels alone, as (number, value), and all are joined by number.
     """
-    structs = [
-        F.struct(
-            F.lit(c).alias("colonne"),
-            F.col(key).alias("_cle"),
-            seeded_hash(seed, F.lit(c), F.col(key)).alias("_h"),
-            *[(F.col(d) if d == c else F.lit(None)).alias(f"_v_{d}") for d in columns],
-        )
-        for c in columns
-    ]
-    kinds = dict(df.dtypes)
-    structs = [
-        s.cast(
-            "struct<colonne:string,_cle:{},_h:bigint,{}>".format(
-                kinds[key], ",".join(f"_v_{d}:{kinds[d]}" for d in columns)
-            )
-        )
-        for s in structs
+    renamed = [F.col(c).alias(f"_v{k}") for k, c in enumerate(columns)]
+    hashed = df.select(F.col(key).alias("_cle"), seeded_hash(seed, F.col(key)).alias("_h"), *renamed)
+    placed = materialized(hash_positions(hashed, [], "_h", "_cle").drop("_h", "_cle"))
+    n = placed.count()
+    moved = [
+        placed.select(permuted("position", n, seed, c).alias("_place"), F.col(f"_v{k}").alias(f"_v{k}"))
+        for k, c in enumerate(columns)
     ]
-    long = df.select(F.explode(F.array(*structs)).alias("_s")).select("_s.*")
-    placed = hash_positions(long, ["colonne"], "_h", "_cle")
-    return placed.groupBy("position").agg(
-        *[F.max(f"_v_{c}").alias(c) for c in columns]
-    ).drop("position")
+    joined = reduce(lambda left, right: left.join(right, "_place"), moved)
+    return joined.select(*[F.col(f"_v{k}").alias(c) for k, c in enumerate(columns)])
+
+
+def permuted(place: Column | str, n: int, *secret) -> Column:
+    """The image of a number of 0 to ``n`` - 1 under the permutation that ``secret`` names.
+
+    A Feistel network permutes the numbers of as many bits as ``n`` needs, and a number that leaves the range goes
+    through it again until it is back. Each turn ends with a chance over one half, so ``_WALK`` turns fail
+    with a chance under 2**-80; the job would stop then.
+    """
+    bits = max(2, (n - 1).bit_length())
+    low = bits // 2
+    masks = ((1 << (bits - low)) - 1, (1 << low) - 1)
+
+    def network(x: Column) -> Column:
+        halves = [F.shiftright(x, low), x.bitwiseAND(F.lit(masks[1]).cast("long"))]
+        for turn in range(_TURNS):
+            mine, other = turn % 2, 1 - turn % 2
+            noise = F.xxhash64(*[F.lit(s) for s in secret], F.lit(turn), halves[other])
+            halves[mine] = halves[mine].bitwiseXOR(noise.bitwiseAND(F.lit(masks[mine]).cast("long")))
+        return F.shiftleft(halves[0], low).bitwiseOR(halves[1])
+
+    start = network((F.col(place) if isinstance(place, str) else place).cast("long"))
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(_WALK)), start, lambda x, _: F.when(x < n, x).otherwise(network(x))
+    )
+    return F.when(walked < n, walked).otherwise(
+        F.raise_error(F.lit("a number did not come back into its range")).cast("long")
+    )

@@ -19,7 +19,7 @@ def _with_cuts(df: DataFrame, key: Sequence[str], stratify: str | None, seed: in
     if stratify is None:
         cuts = hash_cuts(hashed, [], _HASH, sizes).withColumnRenamed("coupes", _CUTS)
         return attach(hashed, cuts, [], [_CUTS])
-    group = F.coalesce(F.col(stratify).cast("string"), F.lit(""))
+    group = F.coalesce(F.concat(F.lit("="), F.col(stratify).cast("string")), F.lit(""))  # NULL is a class of its own
     classed = hashed.withColumn(_CLASS, group)
     cuts = hash_cuts(classed, [_CLASS], _HASH, sizes).withColumnRenamed("coupes", _CUTS)
     classes = df.agg(F.approx_count_distinct(group)).first()[0]

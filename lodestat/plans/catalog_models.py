@@ -707,18 +707,19 @@ def _(spark, folder):
 
 @register(
     "fit_preprocessor",
-    "WITH d AS (SELECT CASE WHEN doc_id % 11 <> 0 THEN n_chars END AS n_chars FROM documents JOIN labels USING (doc_id)), "
-    "m AS (SELECT quantile_cont(n_chars, 0.5) AS med FROM d), f AS (SELECT coalesce(n_chars, med) AS v, med FROM d, m) "
-    f"SELECT 'n_chars' AS variable, {R('any_value(med)')} AS mediane, {R('avg(v)')} AS moyenne, {R('stddev_pop(v)')} AS ecart_type FROM f",
+    f"WITH {SQL_HOLES}, c AS (SELECT l_orderkey, l_linenumber, q, p, CASE g WHEN 'AF' THEN 0.0 WHEN 'NF' THEN 1.0 WHEN 'NO' THEN 2.0 WHEN 'RF' THEN 3.0 END AS g, f FROM holes), "
+    "m AS (SELECT quantile_cont(q, 0.5) AS q, quantile_cont(p, 0.5) AS p, quantile_cont(g, 0.5) AS g FROM c), "
+    "v AS (SELECT l_orderkey, l_linenumber, coalesce(c.q, m.q) AS q, coalesce(c.p, m.p) AS p, coalesce(c.g, m.g) AS g, f FROM c, m), "
+    "s AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(p) AS mp, stddev_pop(p) AS sp, avg(g) AS mg, stddev_pop(g) AS sg FROM v) "
+    f"SELECT l_orderkey, l_linenumber, {R('(q - mq) / sq')} AS q, {R('(p - mp) / sp')} AS p, {R('(g - mg) / sg')} AS g, "
+    + ", ".join(f"CASE WHEN f = '{c}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_{c}" for c in "ANR")
+    + " FROM v, s",
 )
 def _(spark, folder):
-    rows = _documents(spark, folder)
-    prep = modeling.Preprocessor(["n_chars"], {}, {}, True).fit(rows)
-    values = (prep.medians["n_chars"], prep.means["n_chars"], prep.deviations["n_chars"])
-    return spark.createDataFrame(
-        [("n_chars", *map(float, values))],
-        "variable string, mediane double, moyenne double, ecart_type double",
-    )
+    rows = holes(spark, folder)
+    prep = modeling.Preprocessor(["q", "p"], {"g": ["AF", "NF", "NO", "RF"]}, {"f": ["A", "N", "R"]}, True).fit(rows)
+    names = ["q", "p", "g", "f_A", "f_N", "f_R"]
+    return rows.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, (_, c) in zip(names, prep.outputs(rows))])
 
 
 @register("fit_classifier")

@@ -578,15 +578,25 @@ def _(spark, folder):
     return prepare.dedup_exact(table(spark, folder, "documents").drop("doc_id"))
 
 
+_SQL_CLEAN = (
+    f"WITH {_SQL_CONFORMED}, clean AS (SELECT distance, jour, {_SQL_RECODE_FILIERE.format(k='filiere')} AS filiere, "
+    f"{_SQL_RECODE_BOURSIER.format(k='boursier')} AS boursier, entier FROM conformed)"
+)
+
+
+@register("transform", _SQL_CLEAN + " SELECT DISTINCT * FROM clean")
+def _(spark, folder):
+    clean = prepare.transform(messy(spark, folder).select(*_TYPES), _TYPES, VOCABULARY)
+    return clean.withColumn("jour", F.date_format("jour", "yyyy-MM-dd"))
+
+
 @register(
-    "transform",
-    f"WITH {SQL_MESSY}, t AS (SELECT {_SQL_RECODE_FILIERE.format(k=sql_key('filiere'))} AS f, {_SQL_RECODE_BOURSIER.format(k=sql_key('boursier'))} AS b, "
-    f"{sql_key('annee')} AS a FROM messy) SELECT count(*) AS n_lignes_source, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS n_doublons_retires, "
-    "3 AS n_colonnes, 'filiere, boursier' AS colonnes_recodees FROM t",
+    "transform_facts",
+    _SQL_CLEAN + " SELECT count(*) AS n_lignes_source, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM clean)) AS n_doublons_retires, "
+    "5 AS n_colonnes, 'filiere, boursier' AS colonnes_recodees FROM clean",
 )
 def _(spark, folder):
-    raw = messy(spark, folder).select("filiere", "boursier", "annee")
-    return prepare.transform_facts(raw, {}, VOCABULARY)
+    return prepare.transform_facts(messy(spark, folder).select(*_TYPES), _TYPES, VOCABULARY)
 
 
 # --- joins and integrity ----------------------------------------------------------------------
@@ -594,17 +604,16 @@ def _(spark, folder):
 
 @register(
     "orphan_keys",
-    "SELECT DISTINCT lower(concat('C#', CAST(o_custkey AS VARCHAR))) AS cle FROM orders WHERE lower(concat('C#', CAST(o_custkey AS VARCHAR))) "
-    "NOT IN (SELECT lower(concat('c#', CAST(c_custkey AS VARCHAR))) FROM customer WHERE c_custkey % 3 <> 0)",
+    "SELECT DISTINCT concat('d#', CAST(doc_id AS VARCHAR)) AS cle FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
 )
 def _(spark, folder):
-    fact = table(spark, folder, "orders").select(
-        F.concat(F.lit("C#"), F.col("o_custkey").cast("string")).alias("client")
+    fact = table(spark, folder, "documents").select(
+        F.concat(F.lit("D#"), F.col("doc_id").cast("string")).alias("document")
     )
-    known = table(spark, folder, "customer").where("c_custkey % 3 <> 0").select(
-        F.concat(F.lit(" c#"), F.col("c_custkey").cast("string")).alias("client")
+    known = table(spark, folder, "labels").select(
+        F.concat(F.lit(" d#"), F.col("doc_id").cast("string")).alias("document")
     )
-    return integrity.orphan_keys(fact, known, "client")
+    return integrity.orphan_keys(fact, known, "document")
 
 
 @register(
@@ -639,16 +648,14 @@ def _(spark, folder):
 
 @register(
     "align_modalities",
-    "WITH a AS (SELECT event_type AS modalite, count(*) AS n FROM events WHERE event_id % 2 = 0 AND event_type <> 'view' GROUP BY 1), "
-    "b AS (SELECT event_type AS modalite, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_type <> 'click' GROUP BY 1) "
+    "WITH a AS (SELECT o_orderstatus AS modalite, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT l_linestatus AS modalite, count(*) AS n FROM lineitem GROUP BY 1) "
     "SELECT modalite, coalesce(a.n, 0) AS n_reference, coalesce(b.n, 0) AS n_courant FROM a FULL JOIN b USING (modalite)",
 )
 def _(spark, folder):
-    events = table(spark, folder, "events")
     return integrity.align_modalities(
-        events.where("event_id % 2 = 0 AND event_type <> 'view'"),
-        events.where("event_id % 2 = 1 AND event_type <> 'click'"),
-        "event_type",
+        table(spark, folder, "orders").select(F.col("o_orderstatus").alias("statut")),
+        table(spark, folder, "lineitem").select(F.col("l_linestatus").alias("statut")),
+        "statut",
     )
 
 

@@ -200,6 +200,33 @@ def test_deidentified_keeps_marginals_and_breaks_rows(spark):
     assert (out["b"] == 3 * out["a"]).mean() < 0.1
     again = drift.deidentified_reference(df.repartition(5), ["a", "b"], "k", 1).toPandas()
     assert set(map(tuple, out.values)) == set(map(tuple, again.values))
+    assert drift.deidentified_reference(df.where("false"), ["a", "b"], "k", 1).count() == 0
+    few = df.limit(1).selectExpr("k", "CAST(NULL AS string) AS a", "array(b) AS b", "1.5D AS k2")
+    assert [tuple(r) for r in drift.deidentified_reference(few, ["a", "b", "k2"], "k", 1).collect()] == [(None, [0], 1.5)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 4_099])
+def test_numbers_are_permuted_within_their_range(spark, n):
+    rows = spark.range(n).select(*[drift.permuted("id", n, 7, c).alias(c) for c in "ab"]).toPandas()
+    for c in "ab":
+        assert sorted(rows[c]) == list(range(n))
+    if n > 1_000:
+        assert (rows["a"] != rows["b"]).mean() > 0.99 and (rows["a"].diff().abs() == 1).mean() < 0.01
+        assert abs(rows["a"].corr(rows["b"])) < 0.06 and abs(rows["a"].corr(pd.Series(range(n)))) < 0.06
+
+
+def test_rank_correlation_with_ties_holes_and_columns_that_never_meet(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame(rng.integers(0, 4, (600, 5)).astype(float), columns=list("abcde"))
+    frame["b"] = 7.0
+    frame.loc[rng.random(600) < 0.5, "c"] = np.nan
+    frame["d"] = np.where(frame["c"].isna(), frame["d"], np.nan)
+    df = spark.createDataFrame(frame).repartition(7)
+    found = {(r[0], r[1]): r[2] for r in association.correlation_matrix(df, list("abcde")).collect()}
+    expected = frame.corr(method="spearman")
+    assert ("c", "d") not in found and len(found) == 9
+    for (x, y), value in found.items():
+        assert value is None if "b" in (x, y) else value == pytest.approx(expected.loc[x, y], abs=1e-12)
 
 
 def test_ratio_of_uniforms_has_the_hypergeometric_law():
