@@ -59,17 +59,34 @@ def _is_kind(value, kind: str) -> bool:
     if kind == "number":
         return number
     if kind == "integer":
-        return number and float(value).is_integer()
+        return number and (isinstance(value, int) or value.is_integer())
     return isinstance(value, _KINDS[kind]) if kind in _KINDS else True
 
 
+def _is_schema(schema) -> bool:
+    """Whether a value is an object whose known fields have the kinds that ``violations`` reads."""
+    if not isinstance(schema, dict):
+        return False
+    kinds, fields = schema.get("type", []), schema.get("properties", {})
+    names = [kinds] if isinstance(kinds, str) else kinds
+    return (
+        all(isinstance(part, list) for part in (names, schema.get("enum", []), schema.get("required", [])))
+        and all(isinstance(name, str) for name in [*names, *schema.get("required", [])])
+        and all(_is_kind(schema.get(bound, 0), "number") for bound in ("minimum", "maximum"))
+        and isinstance(schema.get("additionalProperties", True), (bool, dict))
+        and isinstance(fields, dict)
+        and all(map(_is_schema, fields.values()))
+        and ("items" not in schema or _is_schema(schema["items"]))
+    )
+
+
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What in a value goes against a schema, as ``place: what``, in the order of the schema."""
     kinds = schema.get("type")
     if kinds is not None and not any(_is_kind(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [f"{at}: type"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", -math.inf):
@@ -90,19 +107,35 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _shown(text: str | None) -> tuple[object, str]:
+    """(value, canonical text); ValueError where ``parsed`` says so and for half a surrogate pair, which is no text."""
+    value = parsed(text)
+    shown = canonical(value)
+    shown.encode()
+    return value, shown
+
+
 def _checked(text: str | None, schema: str | None) -> tuple[str | None, list[str]]:
     try:
-        value = parsed(text)
-        shown = canonical(value)
+        value, shown = _shown(text)
     except (ValueError, RecursionError):
         return None, ["$: not JSON"]
     if schema is None:
         return shown, ["$: unknown tool"]
-    return shown, violations(value, json.loads(schema))
+    try:
+        rules, _ = _shown(schema)
+        usable = _is_schema(rules)
+    except (ValueError, RecursionError):
+        usable = False
+    return shown, violations(value, rules) if usable else ["$: no usable schema"]
 
 
 def check_arguments(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``calls`` with ``canonical_arguments`` and ``violations``; a NULL or unknown tool is a violation."""
+    """``calls`` with ``canonical_arguments`` and ``violations``; a NULL or unknown tool is a violation.
+
+    So is a schema that is not JSON or not such an object as the module names; arguments with half a surrogate
+    pair are not JSON. Numbers in an ``enum`` are equal by value, and ``true`` is no number.
+    """
     known = schemas.where("tool IS NOT NULL").groupBy("tool").agg(F.min("schema").alias("schema"))
     rows = calls.select("conv_id", "call_id", "after_id", "tool", "arguments").join(known, "tool", "left")
     rows = rows.select("conv_id", "call_id", "after_id", "tool", "arguments", "schema")
@@ -155,7 +188,7 @@ def depths(calls: DataFrame) -> DataFrame:
 
 def _canonical_text(text: str | None) -> str | None:
     try:
-        return None if text is None else canonical(parsed(text))
+        return None if text is None else _shown(text)[1]
     except (ValueError, RecursionError):
         return json.dumps(text, ensure_ascii=False)
 

@@ -14,6 +14,35 @@ def test_canonical_and_violations():
     assert chat.violations([], schema) == ["$: type"]
 
 
+def test_values_and_schemas_that_are_hard_to_read():
+    for half in ['"\\ud800"', '{"\\udc00": 1}', '["\\ud83d", "\\ude00"]']:
+        assert chat._checked(half, "{}") == (None, ["$: not JSON"])
+        assert json.loads(chat._canonical_text(half)) == half
+    assert chat._checked('"\\ud83d\\ude00"', "{}") == ('"\U0001f600"', [])
+    digits = "9" * 400
+    assert chat._checked(digits, '{"type": "integer", "maximum": 5.5}') == (digits, ["$: maximum"])
+    assert chat._checked("9" * 5000, "{}")[1] == ["$: not JSON"] and chat._checked("1e999", "{}")[1] == ["$: not JSON"]
+    unusable = ["", "{", "null", "[]", "3", '"x"', '{"type": 1}', '{"type": [1]}', '{"enum": 1}', '{"required": [1]}', '{"minimum": "a"}', '{"minimum": true}',
+                '{"properties": []}', '{"properties": {"a": 1}}', '{"items": []}', '{"items": {"enum": {}}}', '{"additionalProperties": 0}', '{"required": ["\\ud800"]}', "[" * 100_000]
+    for schema in unusable:
+        assert chat._checked('{"a": 1}', schema) == ('{"a":1}', ["$: no usable schema"]), schema
+    assert chat.violations(True, {"enum": [1]}) == ["$: enum"] and chat.violations(1, {"enum": [True]}) == ["$: enum"]
+    assert chat.violations(1.0, {"enum": [1]}) == [] and chat.violations({"b": [1], "a": None}, {"enum": [{"a": None, "b": [1.0]}]}) == []
+
+
+def test_hard_values_and_clashing_columns(spark):
+    calls = spark.createDataFrame(
+        [(1, "a", None, "t", '"\\ud800"', "x", "y", 0), (1, "b", None, "t", '{"q": %s}' % ("9" * 400), "x", "y", 0), (1, "c", None, "u", '["%s"]' % ("long " * 200_000), "x", "y", 0)],
+        "conv_id bigint, call_id string, after_id string, tool string, arguments string, schema string, violations string, depth int",
+    )
+    results = spark.createDataFrame([(1, "b", '"\\udfff"', "z"), (1, "b", '"\\udfff"', "z"), (1, "c", "done", "z")], "conv_id bigint, call_id string, content string, status string")
+    schemas = spark.createDataFrame([("t", "no schema", "x"), ("u", '{"type": "array"}', "x")], "tool string, schema string, arguments string")
+    found = {r.call_id: r for r in chat.link_calls(calls, results, schemas).collect()}
+    assert (found["a"].status, found["a"].violations, found["a"].arguments) == ("invalid", ["$: not JSON"], None)
+    assert (found["b"].status, found["b"].violations, found["b"].n_results) == ("ambiguous", ["$: no usable schema"], 2)
+    assert found["c"].status == "linked" and len(found["c"].arguments) == 1_000_004
+
+
 def test_linking(spark):
     calls = [
         (1, "a", None, "t", '{"q": 1}'), (1, "b", "a", "t", '{"q": 2}'), (1, "c", "b", "t", '{"q": "x"}'), (1, "d", "gone", "t", '{"q": 4}'),
