@@ -1,6 +1,7 @@
-"""Document fingerprints from prefix polynomial hashes.
+"""Document fingerprints from prefix polynomial hashes, modulo the prime 2**61 - 1.
 
-The prefix array of a text answers whether any two spans are equal in constant time, and the longest common
+With ``prefix[i] = v[0] + v[1] r + ... + v[i-1] r**(i-1)`` the hash of a span is ``(prefix[end] - prefix[start]) *
+r**-start``; two different spans of at most n bytes share it for at most n of the 2**61 values of r. The prefix array of a text answers whether any two spans are equal in constant time, and the longest common
 extension of two places by binary search over span lengths. A fingerprint is the hash of the whole text and a
 sketch: the ``SKETCH`` least distinct hashes of its spans of ``SPAN`` bytes. The likeness of two fingerprints is
 the share of common spans that their sketches estimate; it is exact for texts of few spans.
@@ -27,20 +28,70 @@ _DONE, _HEAD, _OPEN = 0, 1, 2
 _RESULT = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_edited", "common_next"]
 
 
+_PRIME = (1 << 61) - 1
+# A random base, and its inverse.
+_BASE = 0x10B4A7C2D93E5F71
+_INVERSE = pow(_BASE, -1, _PRIME)
+_P, _61, _32, _31, _30 = (np.uint64(n) for n in (_PRIME, 61, 32, 31, 30))
+_LOW_32, _LOW_31, _LOW_30 = (np.uint64((1 << n) - 1) for n in (32, 31, 30))
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW_31, b >> _31, b & _LOW_31
+    middle = a0 * b1 + a1 * b0
+    # 2**62 is 2, and 2**31 times the middle is its upper part plus the lower 30 bits moved up.
+    return _reduced(((a1 * b1) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW_30) << _31) + a0 * b0)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """The first powers of a base, doubled from those that are there."""
+    have = _tables.get(base, np.ones(1, dtype=np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), _PRIME)))])
+        _tables[base] = have
+    return have[:n]
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """The prefix array of some bytes. Sums of the halves of the terms cannot overflow below 2**31 bytes."""
+    terms = times(data.astype(np.uint64) + np.uint64(1), _powers(len(data), _BASE))
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    upper = _reduced(np.cumsum(terms >> _32, dtype=np.uint64))
+    lower = _reduced(np.cumsum(terms & _LOW_32, dtype=np.uint64))
+    prefix[1:] = _reduced(times(upper, np.full(1, 1 << 32, dtype=np.uint64)) + lower)
+    return prefix
+
+
 class Prefixes:
     """Prefix arrays of some texts, one after another."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.offsets = offsets
-        self.prefix = flat.prefix_hashes(flat.byte_units(data))
+        self.prefix = prefix_hashes(data)
 
     @classmethod
     def of(cls, texts: list[str]) -> Prefixes:
         return cls(*flat.flat(pa.array(texts, type=pa.large_string())))
 
     def span(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Hashes of spans given by absolute start and length."""
-        return flat.span_hashes(self.prefix, start, start + length)
+        """Hashes of spans given by absolute start and length, scrambled one to one."""
+        apart = _reduced(self.prefix[start + length] + (_P - self.prefix[start]))
+        return flat.mix(times(apart, _powers(len(self.prefix), _INVERSE)[start]))
+
+    def rolling(self, size: int) -> np.ndarray:
+        """Hashes of every span of ``size`` bytes."""
+        n = max(len(self.prefix) - size, 0)
+        apart = _reduced(self.prefix[size:] + (_P - self.prefix[:n]))
+        return flat.mix(times(apart, _powers(n, _INVERSE)))
 
 
 def common_extension(a: Prefixes, i: np.ndarray, b: Prefixes, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -56,7 +107,7 @@ def common_extension(a: Prefixes, i: np.ndarray, b: Prefixes, j: np.ndarray, mos
 
 def sketches(texts: Prefixes) -> list[np.ndarray]:
     """The least distinct span hashes, 32 bits each and in order, of each text; none for an empty one."""
-    rolling = flat.rolling_hashes(texts.prefix, SPAN) >> np.uint64(32)
+    rolling = texts.rolling(SPAN) >> np.uint64(32)
     out = []
     for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist()):
         spans = b - a - SPAN + 1
@@ -168,7 +219,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     and ``common_next`` are the bytes that a text shares with the start of its edited text and of the next.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", doc_key().alias("doc"), F.crc32(whole_text()).alias("tag"), whole_text().alias("text"))
+    rows = documents.select("doc_id", doc_key().alias("doc"), F.xxhash64(whole_text()).alias("tag"), whole_text().alias("text"))
     ordered = rows.repartitionByRange(F.col("doc").desc(), F.col("tag").desc()).sortWithinPartitions(
         F.col("doc").desc(), F.col("tag").desc()
     )

@@ -24,6 +24,50 @@ def test_common_extension_by_brute_force():
         assert want == n
 
 
+def test_arithmetic_modulo_the_prime():
+    draw = random.Random(4)
+    p = (1 << 61) - 1
+    a = [0, 1, p - 1, p - 1, (1 << 31) - 1, 1 << 60] + [draw.randrange(p) for _ in range(500)]
+    b = [p - 1, p - 1, p - 1, 1, 1 << 31, p - 2] + [draw.randrange(p) for _ in range(500)]
+    got = fp.times(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64))
+    assert got.tolist() == [x * y % p for x, y in zip(a, b)]
+    data = draw.randbytes(3_000)
+    want, power = [0], 1
+    for byte in data:
+        want.append((want[-1] + (byte + 1) * power) % p)
+        power = power * fp._BASE % p
+    assert fp.prefix_hashes(np.frombuffer(data, dtype=np.uint8)).tolist() == want
+
+
+def test_texts_that_differ_everywhere_yet_repeat_alike():
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    one, two = ("".join("ab"[b ^ turn] for b in bits) for turn in (0, 1))
+    own, other = fp.Prefixes.of([one]), fp.Prefixes.of([two])
+    start, whole = np.array([0]), np.array([4096])
+    assert own.span(start, whole)[0] != other.span(start, whole)[0]
+    assert fp.common_extension(own, start, other, start, whole)[0] == 0
+    assert fp.common_extension(own, start, own, start, whole)[0] == 4096
+
+
+def _spans(text: str) -> set[bytes]:
+    data = text.encode()
+    return {data[i : i + fp.SPAN] for i in range(len(data) - fp.SPAN + 1)} or {data} - {b""}
+
+
+def test_likeness_of_short_texts_is_the_share_of_common_spans(spark):
+    draw = random.Random(9)
+    base = "".join(draw.choice("abcdefgh") for _ in range(70))
+    rows = [(k, base[: draw.randint(0, 70)] if k % 2 else base[k : k + 40]) for k in range(20)]
+    texts = dict(rows)
+    for r in fp.fingerprints(table(spark, rows)).collect():
+        own, after = texts[r.doc_id], texts[(r.doc_id - 1) % 20]
+        n = len(own) // 3
+        for got, other in ((r.near_next, after), (r.near_edited, own[: len(own) - n] + after[:n])):
+            a, b = _spans(own), _spans(other)
+            if len(a | b) <= fp.SKETCH:
+                assert got == (len(a & b) / len(a | b) if a | b else 1.0), r.doc_id
+
+
 def test_against_plain_rules(spark):
     rows = awkward(6)
     found = fp.fingerprints(table(spark, rows)).collect()
