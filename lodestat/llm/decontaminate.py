@@ -50,7 +50,7 @@ def hits(documents: DataFrame, windows: DataFrame, lengths: list[int], few: bool
     """(doc, tag, at, length, key): every occurrence of a window in a document, verified."""
     found = F.broadcast(windows) if few else windows
     texts = documents.select(
-        doc_key().alias("doc"), F.crc32(whole_text()).alias("tag"), words(whole_text()).alias("words")
+        doc_key().alias("doc"), F.xxhash64(whole_text()).alias("tag"), words(whole_text()).alias("words")
     )
     sides = []
     for length in lengths:
@@ -119,7 +119,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     sizes = documents.select(
         "doc_id",
         doc_key().alias("doc"),
-        F.crc32(whole_text()).alias("tag"),
+        F.xxhash64(whole_text()).alias("tag"),
         F.size(words(whole_text())).cast("bigint").alias("n_words"),
     )
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
@@ -139,5 +139,5 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     found, _ = scan(documents, benchmark, window)
     keys = found.select("doc", "tag").distinct()
     return documents.join(
-        keys, (doc_key() == keys["doc"]) & (F.crc32(whole_text()) == keys["tag"]), "left_anti"
+        keys, (doc_key() == keys["doc"]) & (F.xxhash64(whole_text()) == keys["tag"]), "left_anti"
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm import flat
-from lodestat.llm.stored import doc_key, stored, whole_text
+from lodestat.llm.stored import stored, whole_text
 from lodestat.session import ship_by_value
 
 ship_by_value(__name__)
@@ -33,9 +33,13 @@ _COUNT = 16  # a run of n windows whose anchor is d units after its start: n + d
 
 
 def keyed(documents: DataFrame, *more: str) -> DataFrame:
-    """(doc, tag, text) and the named columns."""
+    """(doc, tag, text) and the named columns.
+
+    A row without ``doc_id`` is named by 62 bits of its text, below all ids from -2**62 on.
+    """
+    nameless = F.shiftrightunsigned(F.xxhash64(whole_text()), 2) + F.lit(-(2**63)).cast("bigint")
     return documents.select(
-        doc_key().alias("doc"), F.crc32(whole_text()).alias("tag"), whole_text().alias("text"), *more
+        F.coalesce(F.col("doc_id").cast("bigint"), nameless).alias("doc"), F.crc32(whole_text()).alias("tag"), whole_text().alias("text"), *more
     )
 
 

@@ -1,6 +1,6 @@
 """Sharding over fixed virtual slots, DataFrame functions only.
 
-Records are hashed by ``doc_id`` into ``SLOTS`` virtual slots, bytes and rows are summed per slot, and a
+Records are hashed by ``doc_id`` and text into ``SLOTS`` virtual slots, bytes and rows are summed per slot, and a
 versioned table maps slots to shards. Rebalancing edits that table: version 0 deals the slots in turn, and
 each later version differs from the one before by the slots that moved. What reaches the driver is one row
 per virtual slot, whatever the number of records.
@@ -18,9 +18,9 @@ from lodestat.llm.stored import stored, whole_text
 SLOTS = 4096
 
 
-def virtual_slot(column: str = "doc_id", slots: int = SLOTS) -> Column:
-    """Slot of a record; a NULL key has a slot too."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(slots)).cast("int")
+def virtual_slot(column: str = "doc_id", slots: int = SLOTS, text: str = "text") -> Column:
+    """Slot of a record, by its key and its text, so that a NULL or repeated key does not fill one slot."""
+    return F.pmod(F.xxhash64(F.col(column), whole_text(text)), F.lit(slots)).cast("int")
 
 
 def text_size(column: str = "text") -> Column:
@@ -110,8 +110,8 @@ def shard_documents(records: DataFrame, shards: int = 16, slots: int = SLOTS) ->
 
     The law is ``bytes``: shard sizes are near equal. ``slot`` is the place of the record in its shard,
     without gaps: the rows of the shard's earlier virtual slots, then the rank by ``doc_id``, size and
-    checksum in its own. A NULL text counts one byte and has the checksum of an empty text; a NULL
-    ``doc_id`` hashes like any value; repeated rows all have places of their own; an empty table gives no
+    checksum in its own. A NULL text counts one byte and has the checksum of an empty text; rows
+    without ``doc_id`` are spread by their texts; repeated rows all have places of their own; an empty table gives no
     rows. ``grown_shard`` belongs to another law and is NULL.
     """
     sizes, versions = balanced_versions(records, shards, slots)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import zlib
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tag string, doc string, seed int"
 
@@ -34,3 +36,14 @@ def awkward(seed: int = 1):
 def table(spark, rows, parts: int = 3):
     full = [(k, t, None, "s", len(t) if t else None, "x", "y", 1) for k, t in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(parts)
+
+
+def same_checksum() -> tuple[str, str]:
+    """Two texts of 64 words that have nothing in common but their CRC-32."""
+    seen = {}
+    for k in range(1_000_000):
+        text = " ".join(hashlib.sha256(str(k).encode()).hexdigest())
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            return other, text
+    raise AssertionError("no pair found")

@@ -1,6 +1,6 @@
 from lodestat.llm import decontaminate, sharding
 from tests.llm import brute
-from tests.llm.data import awkward, table
+from tests.llm.data import awkward, same_checksum, table
 import zlib
 
 
@@ -57,6 +57,23 @@ def test_clean_documents_and_empty_tables(spark):
     assert decontaminate.contamination(docs.where("false"), items).count() == 0
 
 
+def test_texts_without_id_and_with_one_checksum_stay_apart(spark):
+    one, two = same_checksum()
+    docs = table(spark, [(None, one), (None, two)])
+    found = decontaminate.contamination(docs, _items(spark, [(1, one)])).collect()
+    assert sorted((r.n_hit, r.contaminated) for r in found) == [(0, False), (64, True)]
+    (kept,) = decontaminate.clean_documents(docs, _items(spark, [(1, one)])).collect()
+    assert kept.text == two
+
+
+def test_shards_where_a_third_has_no_key(spark):
+    rows = [(k if k % 3 else None, f"{k} " + "x" * (k * 37 % 500)) for k in range(6000)]
+    load = dict.fromkeys(range(16), 0)
+    for r in sharding.shard_documents(table(spark, rows)).collect():
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) < 600
+
+
 def test_shards(spark):
     rows = [(k, "x" * (k * 37 % 500)) for k in range(3000)] + [(None, None), (None, ""), (7, "x"), (7, "x")]
     found = sharding.shard_documents(table(spark, rows)).collect()

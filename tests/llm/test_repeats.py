@@ -2,7 +2,7 @@ import pytest
 
 from lodestat.llm import substring, suffixes
 from tests.llm import brute
-from tests.llm.data import awkward, table
+from tests.llm.data import awkward, same_checksum, table
 
 
 def _alike(df, names):
@@ -66,3 +66,13 @@ def test_empty_tables(spark):
     assert substring.remove_repeats(docs).count() == 0
     assert suffixes.remove_repeats(docs).count() == 0
     assert substring.cleaned(docs).count() == 0
+
+
+def test_texts_without_id_and_with_one_checksum_stay_apart(spark):
+    one, two = same_checksum()
+    docs = table(spark, [(None, one), (None, two), (None, "short")])
+    for found in (substring.remove_repeats(docs), suffixes.remove_repeats(docs)):
+        assert [r.n_removed for r in found.collect()] == [0, 0, 0]
+    copies = table(spark, [(None, one), (None, two), (5, two), (6, one), (-(2**62), one)])
+    got = sorted((r.doc_id or 0, r.n_removed) for r in substring.remove_repeats(copies).collect())
+    assert got == [(-(2**62), 64), (0, 0), (0, 0), (5, 64), (6, 64)]
