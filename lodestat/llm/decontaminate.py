@@ -46,28 +46,35 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def hits(documents: DataFrame, windows: DataFrame, lengths: list[int], few: bool) -> DataFrame:
-    """(doc, tag, at, length, key): every occurrence of a window in a document, verified."""
-    found = F.broadcast(windows) if few else windows
+def _places(documents: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc, tag, words, length, at): the places of all windows; each text is split into words once."""
     texts = documents.select(
         doc_key().alias("doc"), F.xxhash64(whole_text()).alias("tag"), words(whole_text()).alias("words")
     )
-    sides = []
-    for length in lengths:
-        places = texts.where(F.size("words") >= length).select(
-            "doc", "tag", "words", F.explode(F.expr(f"sequence(1, size(words) - {length - 1})")).alias("at")
-        )
-        mine = F.expr(f"slice(words, at, {length})")
-        side = found.where(F.col("length") == length)
-        sides.append(
-            places.join(side, (F.xxhash64(mine) == side["key"]) & (mine == side["window"])).select(
-                "doc", "tag", "at", "length", "key"
-            )
-        )
-    out = sides[0]
-    for side in sides[1:]:
-        out = out.unionByName(side)
-    return out.distinct()
+    sized = texts.withColumn("length", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    return sized.where("size(words) >= length").withColumn("at", F.explode(F.expr("sequence(1, size(words) - length + 1)")))
+
+
+def hits(documents: DataFrame, windows: DataFrame, lengths: list[int], few: bool) -> DataFrame:
+    """(doc, tag, at, length, key): every occurrence of a window in a document, verified.
+
+    ``few`` windows are broadcast. Otherwise places are shuffled as hashes alone; those whose hash is known come
+    back to their text, one row per text, take their own words from it and are compared.
+    """
+    places = _places(documents, lengths)
+    mine = F.expr("slice(words, at, length)")
+    known = windows.select("length", "key", "window")
+    out = ["doc", "tag", "at", "length", "key"]
+    if few:
+        cut = places.select("doc", "tag", "at", "length", mine.alias("mine")).withColumn("key", F.xxhash64("mine"))
+        return cut.join(F.broadcast(known), ["length", "key"]).where("mine = window").select(*out).distinct()
+    hashed = places.select("doc", "tag", "at", "length", F.xxhash64(mine).alias("key"))
+    maybe = stored(hashed.join(known.select("length", "key"), ["length", "key"], "left_semi").distinct())
+    of_text = maybe.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "length", "key")).alias("places"))
+    texts = documents.select(doc_key().alias("doc"), F.xxhash64(whole_text()).alias("tag"), whole_text().alias("text"))
+    back = texts.join(of_text, ["doc", "tag"]).select("doc", "tag", words("text").alias("words"), "places")
+    cut = back.select("doc", "tag", "words", F.inline("places")).select(*out, mine.alias("mine"))
+    return cut.join(known, ["length", "key"]).where("mine = window").select(*out).distinct()
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
