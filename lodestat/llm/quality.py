@@ -104,21 +104,27 @@ def _shapes(rows: DataFrame, *more: str) -> DataFrame:
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of ``labels`` (doc_id, quality) and the texts of ``documents``.
 
-    A key labelled twice counts as good if one label says so; rows of NULL key or label teach nothing.
+    A key labelled twice counts as good if one label says so; rows of NULL key or label teach nothing. Of several
+    texts under one key the one of least features is learned from, so ``sample`` bounds rows as well as keys.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good")
     )
     chosen = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = documents.where("doc_id IS NOT NULL").select("doc_id", whole_text().alias("text"))
-    found = _shapes(texts.join(F.broadcast(chosen), "doc_id"), "good").toArrow()  # at most ``sample`` keys
+    shapes = _shapes(texts.join(F.broadcast(chosen), "doc_id"), "doc_id", "good")
+    each = shapes.groupBy("doc_id").agg(F.max("good").alias("good"), F.min("shape").alias("shape"))
+    found = each.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()  # at most ``sample`` rows
     numbers = found.column("shape").combine_chunks()
     values = numbers.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features.SHAPE))
     return train(values, found.column("good").to_numpy() == 1)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every document, in (0, 1), at least a half where it is kept."""
+    """doc_id, score of every document, in (0, 1), at least a half where it is kept.
+
+    An empty or NULL text has the score of no words; repeated rows and rows without ``doc_id`` are scored alike.
+    """
     rows = documents.select("doc_id", whole_text().alias("text"))
 
     def work(batches):

@@ -117,22 +117,30 @@ def _cut(on_p: np.ndarray, on_u: np.ndarray, prior: float) -> float:
 
 
 def _slots_of(rows: DataFrame) -> list[np.ndarray]:
-    """The word slots of the texts of a bounded sample."""
+    """The word slots of the texts of a bounded sample, one text a key: of several the one of least slots."""
 
     def work(batches):
         for part, data, offsets in flat.pieces(batches):
             row, slot = features.vocabulary_rows(data, offsets, BITS)
             bounds = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(bounds), pa.array(slot.astype(np.int32)))], names=["slots"]
-            )
+            slots = pa.ListArray.from_arrays(pa.array(bounds), pa.array(slot.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), slots], names=["doc_id", "slots"])
 
-    found = rows.select("text").mapInArrow(work, "slots array<int>").toArrow().column("slots")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    each = rows.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, slots array<int>")
+    each = each.groupBy("doc_id").agg(F.min("slots").alias("slots"))
+    found = each.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow().column("slots")
     return [np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) for x in found]
 
 
 def _sample(keys: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """The texts of the least key hashes, ``most`` keys at most, which bounds what is broadcast."""
+    """The texts of the least key hashes, ``most`` keys at most, which bounds what is broadcast.
+
+    Hashes over twice the share that is needed are left out before keys are made distinct.
+    """
+    about = keys.agg(F.approx_count_distinct("doc_id")).head()[0]
+    if about > 2 * most:
+        keys = keys.where(F.xxhash64("doc_id") <= F.lit(2**64 * 2 * most // about - 2**63).cast("bigint"))
     chosen = keys.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return texts.join(F.broadcast(stored(chosen)), "doc_id")
 

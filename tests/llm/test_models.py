@@ -84,6 +84,26 @@ def test_awkward_rows(spark):
     assert spark.createDataFrame([], SCHEMA).columns == docs.columns
 
 
+def test_one_text_a_key_is_learned_from(spark, monkeypatch):
+    """A key that many rows share adds one row to the sample, whatever the order of the rows."""
+    rows = [(k, f"plain words number {k} of a text") for k in range(40)]
+    hot = [(7, f"copy {k} under one key") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2, k % 3 == 0 and 1 or 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    keep = quality.train
+    monkeypatch.setattr(quality, "train", lambda values, good: seen.append((len(values), int(good.sum()))) or keep(values, good))
+    models = [quality.learn(table(spark, rows + hot, parts), labels) for parts in (1, 5)]
+    assert seen == [(40, 20)] * 2
+    shape = np.random.default_rng(4).random((6, len(quality.features.SHAPE)))
+    assert (models[0].score(shape) == models[1].score(shape)).all()
+    sizes = []
+    learn = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: sizes.append((len(p), len(u))) or learn(p, u, prior))
+    toxicity.learn(table(spark, rows + hot), labels)
+    toxicity.learn(table(spark, rows + hot), labels, positives=3, unlabelled=5)
+    assert sizes == [(14, 40), (3, 5)]
+
+
 def test_pieces_cover_all_bytes():
     import pyarrow as pa
 
