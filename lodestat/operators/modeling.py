@@ -46,7 +46,7 @@ def resolve_categories(
     """(categories per column, undeclared ones seen). Declared ones keep their position.
 
     One pass for all columns; only categories that nobody declared reach the driver. Each would be a feature of
-    its own, so more than ``MAX_NEW_CATEGORIES`` of them are refused with an error: such a column is no category.
+    its own, so a column with more than ``MAX_NEW_CATEGORIES`` of them is no category: it is in neither result.
     """
     columns = list(declared)
     if not columns:
@@ -56,15 +56,12 @@ def resolve_categories(
         [(F.col("colonne") == c) & F.col("valeur").isin(*declared[c]) for c in columns],
     )
     wide = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    seen = (
-        wide.unpivot([], columns, "colonne", "valeur")
-        .where(F.col("valeur").isNotNull() & ~known)
-        .distinct()
-        .limit(MAX_NEW_CATEGORIES + 1)
-        .collect()
+    found = materialized(
+        wide.unpivot([], columns, "colonne", "valeur").where(F.col("valeur").isNotNull() & ~known).distinct()
     )
-    if len(seen) > MAX_NEW_CATEGORIES:
-        raise ValueError(f"more than {MAX_NEW_CATEGORIES} undeclared categories, e.g. of {seen[0]['colonne']}")
+    counts = {r["colonne"]: r["count"] for r in found.groupBy("colonne").count().collect()}  # a row a column
+    columns = [c for c in columns if counts.get(c, 0) <= MAX_NEW_CATEGORIES]
+    seen = found.where(F.col("colonne").isin(*columns)).collect() if columns else []
     extras: dict[str, list[str]] = {}
     for row in sorted(seen, key=lambda r: (r["colonne"], r["valeur"])):
         extras.setdefault(row["colonne"], []).append(row["valeur"])

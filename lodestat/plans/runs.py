@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.regression import GBTRegressionModel
@@ -17,6 +17,7 @@ from lodestat.operators.contract import Contract
 from lodestat.operators.drift import assess_drift
 from lodestat.operators.frequencies import long_text
 from lodestat.operators.modeling import (
+    MAX_NEW_CATEGORIES,
     Family,
     FittedModel,
     Preprocessor,
@@ -91,7 +92,7 @@ class Spec:
 @dataclass
 class TrainedRun:
     """What training leaves for scoring; ``units`` are those of the training table, so that the reading of a
-    row never depends on the batch it comes in."""
+    row never depends on the batch it comes in. ``refused`` names the columns left out of training, and why."""
 
     classifier: FittedModel
     regressor: FittedModel
@@ -101,6 +102,7 @@ class TrainedRun:
     rows: int
     units: dict[str, list[str]] = field(default_factory=dict)
     reference: DataFrame | None = None
+    refused: dict[str, str] = field(default_factory=dict)
 
 
 def discover(raw: DataFrame, vocabulary: Vocabulary | None = None) -> tuple[dict[str, str], DataFrame]:
@@ -110,27 +112,51 @@ def discover(raw: DataFrame, vocabulary: Vocabulary | None = None) -> tuple[dict
 
 
 def curate(raw: DataFrame, spec: Spec, units: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Raw text to the gold table, on declared types."""
+    """Raw text to the gold table, on declared types; numeric columns that hold free text are left out."""
+    if units is None:
+        units = known_units(raw, spec)
+        spec = _without(spec, _free_text(raw, spec, units))
     types = declared_types(raw.columns, spec.numeric_columns)
     drop = [c for c in spec.exclusions if c not in spec.key]
-    known = units if units is not None else known_units(raw, spec)
-    return build_gold(transform(raw, types, spec.vocabulary, units=known), drop, spec.ratios)
+    return build_gold(transform(raw, types, spec.vocabulary, units=units), drop, spec.ratios)
 
 
 def known_units(raw: DataFrame, spec: Spec) -> dict[str, list[str]]:
-    """The units written in the numeric columns of a table, an empty list where there is none."""
+    """The units written in the numeric columns of a table, an empty list where there is none.
+
+    A column with more than ``MAX_UNITS`` of them holds free text and is not in the result.
+    """
     columns = [c for c in spec.numeric_columns if c in raw.columns]
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    if columns:
-        listed = detect_units(long_text(raw, columns)).orderBy("colonne", "unite").limit(MAX_UNITS + 1).collect()
-        if len(listed) > MAX_UNITS:
-            raise ValueError(f"more than {MAX_UNITS} units: a numeric column holds free text")
-        for row in listed:
+    if not columns:
+        return {}
+    written = materialized(detect_units(long_text(raw, columns)))
+    counts = {r["colonne"]: r["count"] for r in written.groupBy("colonne").count().collect()}  # a row a column
+    found: dict[str, list[str]] = {c: [] for c in columns if counts.get(c, 0) <= MAX_UNITS}
+    if found:
+        for row in written.where(F.col("colonne").isin(*found)).orderBy("colonne", "unite").collect():
             found[row["colonne"]].append(row["unite"])
     return found
 
 
-def _families(spec: Spec, gold: DataFrame) -> tuple[Family, Family]:
+def _free_text(raw: DataFrame, spec: Spec, units: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """Numeric columns without known units, and why. Keys and targets cannot be left out: an error."""
+    refused = {c: f"more than {MAX_UNITS} units" for c in spec.numeric_columns if c in raw.columns and c not in units}
+    needed = [c for c in refused if c in (*spec.key, spec.target, spec.target_secondary)]
+    if needed:
+        raise ValueError(f"{needed[0]} holds free text: more than {MAX_UNITS} units")
+    return refused
+
+
+def _without(spec: Spec, refused: Mapping[str, str]) -> Spec:
+    """The decisions without some columns and the ratios made of them."""
+    if not refused:
+        return spec
+    ratios = {name: pair for name, pair in spec.ratios.items() if not set(pair) & set(refused)}
+    return replace(spec, exclusions=(*spec.exclusions, *refused), ratios=ratios)
+
+
+def _families(spec: Spec, gold: DataFrame) -> tuple[Family, Family, dict[str, str]]:
+    """The two models, and the nominal columns that are too varied to be categories."""
     kept = set(spec.features(gold.columns))
     numeric, ordinal, nominal = spec.roles(gold.columns)
     categories, _ = resolve_categories(gold, {c: spec.nominal[c] for c in nominal if c in kept})
@@ -140,15 +166,21 @@ def _families(spec: Spec, gold: DataFrame) -> tuple[Family, Family]:
         "nominal": categories,
     }
     classifier = Family("logreg", logistic(spec.c), True, True, **roles)
-    return classifier, build_regressors(roles, spec.seed, spec.trees)["gradient_boosting"]
+    varied = {
+        c: f"more than {MAX_NEW_CATEGORIES} undeclared categories" for c in nominal if c in kept and c not in categories
+    }
+    return classifier, build_regressors(roles, spec.seed, spec.trees)["gradient_boosting"], varied
 
 
 def retrain(raw: DataFrame, spec: Spec) -> TrainedRun:
     """Curate, split, fix the threshold out of fold, fit, and measure once on the sealed test.
 
-    The curated table is written once: every fold reads it back instead of redoing the cleaning.
+    The curated table is written once: every fold reads it back instead of redoing the cleaning. A numeric column
+    of free text and a nominal one of too many categories are left out of training and named in ``refused``.
     """
     units = known_units(raw, spec)
+    refused = _free_text(raw, spec, units)
+    spec = _without(spec, refused)
     gold = materialized(curate(raw, spec, units))
     marked = stratified_split(gold, spec.target, spec.key, spec.test_size, spec.seed)
     train = materialized(
@@ -161,7 +193,7 @@ def retrain(raw: DataFrame, spec: Spec) -> TrainedRun:
         )
     )
     test = marked.where("est_test").drop("est_test")
-    by_class, by_value = _families(spec, train.drop("fold"))
+    by_class, by_value, varied = _families(spec, train.drop("fold"))
     oof = out_of_fold(train, by_class, spec.target, spec.n_splits)
     threshold = metrics.pick_threshold(
         oof, spec.target, "p", recall_target=spec.recall_target
@@ -179,7 +211,7 @@ def retrain(raw: DataFrame, spec: Spec) -> TrainedRun:
     print_of = table_fingerprint(gold).first()
     return TrainedRun(
         classifier, regressor, float(threshold), measures, print_of["empreinte"], print_of["n_lignes"], units,
-        train.drop("fold"),
+        train.drop("fold"), refused | varied,
     )
 
 
@@ -257,8 +289,8 @@ def save_run(run: TrainedRun, path: str, version: str) -> str:
     spark.createDataFrame(units, "colonne string, unites array<string>").write.parquet(f"{root}/unites")
     if run.reference is not None:
         run.reference.write.parquet(f"{root}/reference")
-    sheet = [(version, run.threshold, run.fingerprint, int(run.rows), run.reference is not None, {k: float(v) for k, v in run.holdout.items() if v is not None})]
-    kinds = "version string, seuil double, empreinte string, lignes bigint, reference boolean, mesures map<string,double>"
+    sheet = [(version, run.threshold, run.fingerprint, int(run.rows), run.reference is not None, {k: float(v) for k, v in run.holdout.items() if v is not None}, run.refused)]
+    kinds = "version string, seuil double, empreinte string, lignes bigint, reference boolean, mesures map<string,double>, refus map<string,string>"
     spark.createDataFrame(sheet, kinds).write.parquet(f"{root}/fiche")
     return root
 
@@ -291,4 +323,5 @@ def load_run(spark: SparkSession, root: str) -> TrainedRun:
         sheet["lignes"],
         {r["colonne"]: list(r["unites"]) for r in spark.read.parquet(f"{root}/unites").collect()},
         spark.read.parquet(f"{root}/reference") if sheet["reference"] else None,
+        dict(sheet.asDict().get("refus") or {}),
     )

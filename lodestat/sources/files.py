@@ -67,14 +67,17 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def _heads(lines: DataFrame, characters: int) -> DataFrame:
     """(file, head): the first bytes of each file, enough for so many characters.
 
-    A line gives one character at least, so that many lines are enough; each task keeps no more of a file.
+    A character has four bytes at most, so lines are taken until those before hold four bytes for each; a task
+    keeps at most twice that of a file.
     """
     order = Window.partitionBy("file").orderBy("line")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     first = (
         lines.where("start = 0")
         .withColumn("value", F.expr(f"substring(value, 1, {4 * characters})"))
         .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= characters)
+        .withColumn("held", F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)))
+        .where(F.col("held") < 4 * characters)
     )
     listed = F.array_sort(F.collect_list(F.struct("place", "value")))
     return first.groupBy("file").agg(F.transform(listed, lambda x: x["value"]).alias("head"))

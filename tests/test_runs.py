@@ -2,6 +2,7 @@
 
 import codecs
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from lodestat.operators.scoring import (
     scored_union_refused,
     top_contributions,
 )
+from lodestat.plans import runs
 from lodestat.plans.runs import Spec, batch_drift, load_run, predict, retrain, save_run
 from lodestat.sources import files, layers
 from lodestat.streaming import alerts
@@ -186,6 +188,32 @@ def test_categories_keep_their_place(spark):
     assert modeling.resolve_categories(df, {"c": ["a", "b"]}, extend=False)[0] == {"c": ["a", "b"]}
 
 
+def test_a_column_too_varied_is_left_out_alone(spark, raw, monkeypatch, tmp_path):
+    df = spark.createDataFrame([("b", f"x{k}") for k in range(6)] + [("z", "x0")], "c string, d string")
+    monkeypatch.setattr(modeling, "MAX_NEW_CATEGORIES", 3)
+    assert modeling.resolve_categories(df, {"c": ["a", "b"], "d": []}) == ({"c": ["a", "b", "z"]}, {"c": ["z"]})
+    assert modeling.resolve_categories(df, {"d": []}) == ({}, {})
+
+    letters = F.translate("student_id", "E0123456789", "eabcdefghij")
+    free = raw.withColumn("presence", F.concat(F.lit("12 "), letters))
+    monkeypatch.setattr(runs, "MAX_UNITS", 100)
+    units = runs.known_units(free, SPEC)
+    assert "presence" not in units and units["total"] == []
+    small = replace(SPEC, trees=1, n_splits=2)
+    trained = runs.retrain(free, small)
+    assert trained.refused == {"presence": "more than 100 units"}
+    assert "presence" not in trained.classifier.preprocessor.numeric and "taux" in trained.classifier.preprocessor.numeric
+    again = load_run(spark, save_run(trained, str(tmp_path), "1"))
+    assert again.refused == trained.refused
+    plain = raw.drop("abandon", "moyenne").withColumn("presence", F.lit("75"))  # still a field of the contract, read as a plain number
+    scored, _, summary = predict(plain, small, CONTRACT, again)
+    assert scored.count() > 0 and summary.count() == 1
+    with pytest.raises(ValueError, match="free text"):
+        runs.retrain(free, replace(small, target_secondary="presence"))
+    kept = runs.curate(free, SPEC)
+    assert "presence" not in kept.columns and "total" in kept.columns
+
+
 def test_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
