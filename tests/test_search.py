@@ -84,3 +84,15 @@ def test_forest_search_side_by_side(table):
         scores = modeling.fold_scores(modeling.out_of_fold(table, build(params), "y", 3), "y")
         want.append((i, round(scores.agg(F.avg("roc_auc")).first()[0], 6)))
     assert sorted((r.essai, round(r.score, 6)) for r in found) == want
+
+
+def test_forests_of_a_search_share_their_cells(spark, table, monkeypatch):
+    """Many forests are grown from the cells of each fold, without a fit to the rows each, and the same ones each time."""
+    def refused(*args):
+        raise AssertionError("a forest was fitted to the rows")
+
+    monkeypatch.setattr(modeling.RandomForestClassifier, "fit", refused)
+    build = lambda p: modeling.Family("random_forest", modeling.forest(**p), False, True, **ROLES)
+    candidates = [{"trees": 40, "depth": d, "seed": 5} for d in (2, 6)]
+    found, again = ([(r.essai, r.score) for r in modeling.search(table, build, candidates, "y", n_splits=3).collect()] for _ in range(2))
+    assert found == again and len(found) == 2 and all(0.5 < score < 1 for _, score in found)
