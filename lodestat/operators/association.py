@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +14,11 @@ from lodestat.operators.explore import missing_counts
 from lodestat.operators.frequencies import is_numeric, present
 from lodestat.operators.noise import permutation_test
 from lodestat.operators.ranks import running_totals
-from lodestat.session import materialized
+from lodestat.session import FEW_GROUPS, materialized
 
 Pair = tuple[str, str]
 PAIR = ["variable_1", "variable_2"]
+PAIRS_AT_ONCE = 60  # products that one aggregation sums up
 
 
 def upper_pairs(names: Sequence[str]) -> list[Pair]:
@@ -165,7 +168,7 @@ def correlation_pairs_all(
     """(variable_1, variable_2, valeur) over rows where both are present; NULL if undefined.
 
     Spearman ranks are those of the rows the pair keeps. Pairs are formed inside a row and summed up before
-    anything is shuffled, so what moves is rows by columns and never rows by pairs.
+    anything is shuffled; rows themselves move only where two columns and more have over ``FEW_GROUPS`` values.
     """
     if method == "pearson":
         rows = _per_pair(
@@ -176,67 +179,83 @@ def correlation_pairs_all(
         return rows.groupBy(*PAIR).agg(F.corr("x", "y").alias("valeur"))
 
     gaps = {r["colonne"]: r["n_manquants"] for r in missing_counts(df, columns).collect()}
-    holed = [c for c in columns if gaps[c] > 0]
-    x, y = F.col("_x"), F.col("_y")
-    # The ranks of a column are those of all its rows (place 0) and of the rows where a column with holes is present.
-    place = F.array(*[F.lit(holed.index(c) + 1 if c in holed else 0) for c in columns])
-    rx, ry = F.get(x["r"], F.get(place, y["i"])), F.get(y["r"], F.get(place, x["i"]))
-    ranked = _row_ranks(df, columns, holed)
-    sums = (
-        ranked.select("_rangs", F.explode("_rangs").alias("_x"))
-        .select("_x", F.explode(F.filter("_rangs", lambda other: other["i"] > x["i"])).alias("_y"))
-        .select(x["i"].alias("_i"), y["i"].alias("_j"), rx.alias("_rx"), ry.alias("_ry"))
-        .groupBy("_i", "_j")
-        .agg(
-            F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"),
-            F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"),
-            F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"),
-        )
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    spread = F.sqrt(F.col("_xx") * F.col("_yy"))
-    return sums.select(
-        F.get(names, F.col("_i")).alias("variable_1"),
-        F.get(names, F.col("_j")).alias("variable_2"),
-        F.when(spread > 0, F.col("_xy") / spread).alias("valeur"),
-    )
+    found = _rank_products(df, list(columns), [c for c in columns if gaps[c] > 0])
+    return df.sparkSession.createDataFrame(found, "variable_1 string, variable_2 string, valeur double")
 
 
-def _row_ranks(df: DataFrame, columns: Sequence[str], holed: Sequence[str]) -> DataFrame:
-    """(_rangs) of every row: per present column its place ``i`` in ``columns`` and its centred ranks ``r``.
+def _rank_products(df: DataFrame, columns: list[str], holed: list[str]) -> list[tuple[str, str, float | None]]:
+    """The rank correlation of every pair of columns that share rows.
 
-    ``r`` holds the rank among all rows of the column, then among those where each of ``holed`` is present.
+    Ranks belong to distinct values, so all but the products of two ranks comes from tables of these. The ranks of
+    columns of few values are looked up by every row in a broadcast table. The column of most values needs no look-up:
+    the ranks of the others are added up by its values first, and these sums meet its ranks.
     """
-    numbers = {c: present(df, c).cast("double") for c in columns}
-    # Row numbers are written down once, so that a task that runs again finds the same ones.
-    rows = materialized(
-        df.select(
-            F.monotonically_increasing_id().alias("_ligne"),
-            F.array(*numbers.values()).alias("_valeurs"),
-            *[numbers[c].isNotNull().cast("long").alias(f"_n{k}") for k, c in enumerate(holed, 1)],
-        )
-    )
+    width = range(len(columns))
+    wide = df.select(*[present(df, c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    # The ranks of a column are those of all its rows (place 0) and of the rows where a column with holes is present.
+    place = [holed.index(c) + 1 if c in holed else 0 for c in columns]
     measures = [f"_n{k}" for k in range(len(holed) + 1)]
-    cells = rows.select(
-        "_ligne", F.lit(1).cast("long").alias("_n0"), *measures[1:], F.posexplode("_valeurs").alias("i", "valeur")
-    ).where("valeur IS NOT NULL")
-    freq = cells.groupBy("i", "valeur").agg(*[F.sum(m).alias(m) for m in measures])
+    counts = [F.count(F.lit(1)).alias("_n0"), *[F.count(f"_v{columns.index(c)}").alias(f"_n{k}") for k, c in enumerate(holed, 1)]]
+    tables = [
+        wide.where(F.col(f"_v{i}").isNotNull()).groupBy(F.col(f"_v{i}").alias("valeur")).agg(*counts).select(F.lit(i).alias("i"), "valeur", *measures)
+        for i in width
+    ]
+    freq = materialized(reduce(DataFrame.unionByName, tables))
     totals = freq.groupBy("i").agg(*[F.sum(m).alias(f"_t{m}") for m in measures])
-    ranks = (
+    ranks = materialized(
         running_totals(freq, ["i"], "valeur", measures)
         .join(F.broadcast(totals), "i")
         .select(
             "i",
             "valeur",
             F.array(*[F.col(f"avant_{m}") + (F.col(m) - F.col(f"_t{m}")) / 2 for m in measures]).alias("r"),
+            F.array(*measures).alias("n"),
         )
     )
-    return (
-        cells.select("_ligne", "i", "valeur")
-        .join(ranks, ["i", "valeur"])
-        .groupBy("_ligne")
-        .agg(F.collect_list(F.struct("i", "r")).alias("_rangs"))
-    )
+    cells = ranks.select("i", F.posexplode(F.arrays_zip("r", "n")).alias("k", "_c"))
+    r, n = F.col("_c.r"), F.col("_c.n")
+    sums = cells.groupBy("i", "k").agg(F.count(r).alias("values"), F.sum(n).alias("rows"), F.sum(r * r * n).alias("squares"))
+    own = {(s["i"], s["k"]): s for s in sums.collect()}
+    sizes = {i: own[i, 0]["values"] for i in width if (i, 0) in own}
+    most = max(sizes, key=sizes.get, default=None)
+    if most is not None and sizes[most] <= FEW_GROUPS:
+        most = None
+    looked = wide
+    for i in sorted(set(sizes) - {most}, key=lambda i: -sizes[i]):
+        table, value = ranks.where(F.col("i") == i).select(F.col("valeur").alias("_key"), F.col("r").alias(f"_r{i}")), F.col(f"_v{i}")
+        if sizes[i] <= FEW_GROUPS:
+            looked = looked.join(F.broadcast(table), value == F.col("_key"), "left").drop("_key")
+        else:  # rows without the number are spread: they meet nothing
+            spread = F.when(value.isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1000))).otherwise(F.lit(0).cast("long"))
+            looked = (
+                looked.withColumns({"_spread": spread, "_at": F.coalesce(value, F.lit(0.0))})
+                .join(table.withColumn("_own", F.lit(0).cast("long")), (F.col("_at") == F.col("_key")) & (F.col("_spread") == F.col("_own")), "left")
+                .drop("_key", "_own", "_at", "_spread")
+            )
+    pairs = [(i, j) for i in width for j in width if i < j and i in sizes and j in sizes and own[i, place[j]]["rows"]]
+    rank = lambda i, j: F.get(F.col(f"_r{i}"), F.lit(place[j]))
+    products: dict[tuple[int, int], float] = {}
+    apart = [pair for pair in pairs if most not in pair]
+    for begin in range(0, len(apart), PAIRS_AT_ONCE):
+        lot = apart[begin : begin + PAIRS_AT_ONCE]
+        products |= zip(lot, looked.agg(*[F.sum(rank(i, j) * rank(j, i)).alias(f"_p{k}") for k, (i, j) in enumerate(lot)]).first())
+    with_most = [pair for pair in pairs if most in pair]
+    for begin in range(0, len(with_most), PAIRS_AT_ONCE):
+        lot = with_most[begin : begin + PAIRS_AT_ONCE]
+        others = [i + j - most for i, j in lot]
+        added = (
+            looked.where(F.col(f"_v{most}").isNotNull())
+            .groupBy(F.col(f"_v{most}").alias("valeur"))
+            .agg(*[F.sum(rank(j, most)).alias(f"_s{j}") for j in others])
+            .join(ranks.where(F.col("i") == most).select("valeur", "r"), "valeur")
+        )
+        met = added.agg(*[F.sum(F.get("r", F.lit(place[j])) * F.col(f"_s{j}")).alias(f"_p{j}") for j in others])
+        products |= zip(lot, met.first())
+    out = []
+    for i, j in pairs:
+        spread = math.sqrt(own[i, place[j]]["squares"]) * math.sqrt(own[j, place[i]]["squares"])
+        out.append((columns[i], columns[j], products[i, j] / spread if spread > 0 else None))
+    return out
 
 
 def correlation_matrix(
