@@ -344,8 +344,9 @@ def permutation_draws(
     """
     numeric = kind != "v"
     firsts, seconds = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
-    left = _frequencies(df, firsts, numeric)
-    right = _frequencies(df, seconds, False)
+    # Written once: sizes, totals, buckets and draws all read these tables, and none the rows again.
+    left = materialized(_frequencies(df, firsts, numeric))
+    right = materialized(_frequencies(df, seconds, False))
     distinct = {
         r["colonne"]: r["k"]
         for r in right.groupBy("colonne").agg(F.count(F.lit(1)).alias("k")).collect()
