@@ -96,3 +96,16 @@ def test_forests_of_a_search_share_their_cells(spark, table, monkeypatch):
     candidates = [{"trees": 40, "depth": d, "seed": 5} for d in (2, 6)]
     found, again = ([(r.essai, r.score) for r in modeling.search(table, build, candidates, "y", n_splits=3).collect()] for _ in range(2))
     assert found == again and len(found) == 2 and all(0.5 < score < 1 for _, score in found)
+
+
+def test_folds_of_a_linear_family_are_fitted_together(table, monkeypatch):
+    each = {r.k: r.p for r in modeling.out_of_fold(table, logreg(many=False), "y", 3).collect()}
+
+    def refused(*args):
+        raise AssertionError("a fold was fitted on its own")
+
+    monkeypatch.setattr(modeling.Family, "fit", refused)
+    found = modeling.out_of_fold(table, logreg(), "y", 3)
+    assert found.columns == [*table.columns, "p"]
+    many = {r.k: r.p for r in found.collect()}
+    assert set(many) == set(each) and all(abs(many[k] - each[k]) < 1e-5 for k in each)
